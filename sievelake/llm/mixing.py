@@ -66,7 +66,7 @@ def mix(docs: DataFrame, id_cols: list[str], share: float = 1.5, epochs: float =
     ranked = sizes.withColumn("_rank", rank)
     weight = F.element_at(F.array(*[F.lit(x) for x in pattern]), (F.pmod(F.col("_rank") - 1, F.lit(len(pattern))) + 1).cast("int"))
     goal = targets(ranked, weight, share, epochs)
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.try_divide("target", "source_size")
     goal = goal.withColumn("_whole", F.coalesce(F.floor(ratio), F.lit(0)).cast("long")).withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
     ahead = F.coalesce(F.sum("_words").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("_ahead", ahead)
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, id_cols: list[str], share: float = 1.5, epochs: float =
     placed = _join_null_safe(placed, goal, ["_b"])
     room = F.col("_left") - F.col("_ahead") - F.col("_before")
     # of _c equal rows, number i (from 0) repeats once more if the middle of its words is inside
-    extra = F.when(F.col("size") > 0, F.least(F.col("_c"), F.greatest(F.lit(0).cast("long"), F.floor(room / F.col("size") + 0.5)))).otherwise(F.lit(0)).cast("long")
+    extra = F.when(F.col("size") > 0, F.least(F.col("_c"), F.greatest(F.lit(0).cast("long"), F.floor(F.try_divide(room, F.col("size")) + 0.5)))).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("_extra", extra).withColumn("_k", F.explode(F.expr("sequence(1L, _c)")))
     repeats = F.col("_whole") + F.when(F.col("_k") <= F.col("_extra"), 1).otherwise(0)
     return placed.select(*cols, "source_size", "target", repeats.cast("long").alias("repeats"))
@@ -110,7 +110,7 @@ def take_mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int
     rows = docs.withColumn("_x", F.xxhash64("text")).withColumn("_h", place(["doc_id", "_x"], seed))
     sized = docs.select("doc_id", F.xxhash64("text").alias("_x"), "source", word_count(F.col("text")).alias("size"))
     mixed = mix(sized, ["doc_id", "_x"], share, epochs, seed).withColumn("_h", place(["doc_id", "_x"], seed))
-    whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
     at = mixed.groupBy("source", "_h").agg(F.min(whole).alias("_whole"), F.sum(F.col("repeats") - whole).alias("_fit"))
     cuts = at.groupBy("source").agg(F.min("_whole").alias("_whole"), F.max(F.when(F.col("_fit") > 0, F.struct("_h", "_fit"))).alias("_cut"))
     met = _join_null_safe(rows, cuts)
