@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, langid, lm, mixing, quality, sharding, vecdedup
+from . import ann, bpe, chat, langid, lm, mixing, quality, sharding, textdedup, vecdedup
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.dedup_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textdedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
