@@ -110,7 +110,7 @@ class Codec:
         return ends if last else [e for e in ends if e < start + len(piece)]
 
     def encode(self, text: str) -> list[int]:
-        return [i for t in self.pretokens(text) for i in self._ids(t)[0]]
+        return self.ids(self.pretokens(text))
 
     def _ids(self, token: str) -> tuple[list[int], str, int]:
         if (hit := self.cache.get(token)) is None:
@@ -123,6 +123,10 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def ids(self, tokens: list[str]) -> list[int]:
+        get = self.cache.get
+        return [i for t in tokens for i in (get(t) or self._ids(t))[0]]
+
     def digest(self, tokens: list[str]) -> tuple[int, str, str]:
         """n_tokens, sha256 of the decimal ids joined by spaces, sha256 of the decoded bytes."""
         ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
@@ -194,62 +198,87 @@ def _codec(shared) -> Codec:
     return _CODECS[key]
 
 
-DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: What an encoder makes of the pre-tokens of a text: Spark columns, Arrow fields, function.
+DIGEST = ("n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], Codec.digest)
+IDS = ("n_tokens long, ids array<int>", [pa.int64(), pa.list_(pa.int32())], lambda codec, tokens: (len(found := codec.ids(tokens)), found))
 
 
-def _rows(ids: pa.Array, found: list[tuple[int, str, str]]) -> pa.RecordBatch:
-    n, a, b = zip(*found) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _rows(keep: pa.Table | pa.RecordBatch, found: list[tuple], form: tuple) -> list[pa.Array]:
+    """The kept columns and those of ``found``."""
+    columns = list(zip(*found)) if found else [()] * len(form[1])
+    return [*keep.columns, *[pa.array(c, t) for c, t in zip(columns, form[1])]]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of ``docs``; null texts are empty.
+def encode(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, form: tuple = IDS) -> DataFrame:
+    """``keep``, n_tokens and ids (or digests): one row per row of ``docs`` (text and ``keep``); null texts are empty.
 
     The vocabulary at ``ranks_path`` is read on the driver and broadcast: its size is fixed (about 50,000 ranks). No special
     tokens: their strings in a text are ordinary text. Repeated rows and null ids give one row each.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((load_ranks(ranks_path), pattern))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    names = [*keep, *[c.split(" ")[0] for c in form[0].split(", ")]]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            yield _rows(batch.column("doc_id"), [codec.digest(codec.find(t)) for t in batch.column("text").to_pylist()])
+            found = [form[2](codec, codec.find(t)) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(_rows(batch.select(keep), found, form), names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {DIGEST}"
-    small = texts.where(F.length("text") <= CHUNK).mapInArrow(short, schema)
-    return small.unionByName(_encode_long(texts.where(F.length("text") > CHUNK), shared, kind))
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    schema = ", ".join([*kept, form[0]])
+    small = texts.where(F.length("_text") <= CHUNK).mapInArrow(short, schema)
+    return small.unionByName(_encode_long(texts.where(F.length("_text") > CHUNK), shared, keep, kept, form, names))
 
 
-def _encode_long(texts: DataFrame, shared, kind: str) -> DataFrame:
+def _encode_long(texts: DataFrame, shared, keep: list[str], kept: list[str], form: tuple, names: list[str]) -> DataFrame:
     """The same for texts of more than one chunk: chunks are pre-tokenised apart, then stitched by text."""
     keyed = texts.withColumn("_row", F.monotonically_increasing_id())
-    pieces = keyed.select(
-        "_row", F.posexplode(F.expr(f"sequence(0, cast((length(text) - 1) div {CHUNK} as int))")).alias("part", "_p"), "text", "doc_id"
-    ).select("_row", "doc_id", "part", (F.length("text") <= (F.col("part") + 1) * CHUNK + OVERLAP).alias("last"), F.substring("text", F.col("part") * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("piece"))
-    dealt = pieces.repartition("_row", "part")
+    at = F.col("_part") * CHUNK
+    pieces = keyed.select(*keep, "_row", F.posexplode(F.expr(f"sequence(0, cast((length(_text) - 1) div {CHUNK} as int))")).alias("_part", "_p"), "_text")
+    pieces = pieces.select(*keep, "_row", "_part", (F.length("_text") <= at + CHUNK + OVERLAP).alias("_last"), F.substring("_text", at + 1, F.lit(CHUNK + OVERLAP)).alias("_piece"))
+    dealt = pieces.repartition("_row", "_part")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
             ends = []
-            for part, last, piece in zip(batch.column("part").to_pylist(), batch.column("last").to_pylist(), batch.column("piece").to_pylist()):
+            for part, last, piece in zip(*(batch.column(c).to_pylist() for c in ("_part", "_last", "_piece"))):
                 found = [m.end() for m in codec.match(piece)]
                 ends.append([part * CHUNK + e for e in (found if last else [e for e in found if e < len(piece)])])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column("piece"), pa.array(ends, pa.list_(pa.int64()))], ["_row", "doc_id", "part", "piece", "ends"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int64()))], [*batch.schema.names, "_ends"])
 
-    cut = dealt.mapInArrow(split, f"_row long, doc_id {kind}, part int, piece string, ends array<long>")
+    cut = dealt.mapInArrow(split, ", ".join([*kept, "_row long, _part int, _last boolean, _piece string, _ends array<long>"]))
 
     def join(group: pa.Table) -> pa.Table:
         codec = _codec(shared)
-        group = group.sort_by("part")
-        text = "".join(p[:CHUNK] for p in group.column("piece").to_pylist()[:-1]) + group.column("piece")[-1].as_py()
-        found = codec.digest(_pretokens(codec, text, group.column("ends").to_pylist()))
-        return pa.Table.from_batches([_rows(group.column("doc_id").combine_chunks()[:1], [found])])
+        group = group.sort_by("_part")
+        pieces = group.column("_piece").to_pylist()
+        text = "".join([p[:CHUNK] for p in pieces[:-1]] + pieces[-1:])
+        found = form[2](codec, _pretokens(codec, text, group.column("_ends").to_pylist()))
+        return pa.Table.from_arrays(_rows(group.select(keep).slice(0, 1), [found], form), names)
+
+    return cut.groupBy("_row").applyInArrow(join, ", ".join([*kept, form[0]]))
 
-    return cut.groupBy("_row").applyInArrow(join, f"doc_id {kind}, {DIGEST}")
+
+def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``encoded`` with the text of its ids (null ids: null); bytes that are no UTF-8 become replacement marks."""
+    shared = encoded.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), ""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for batch in batches:
+            out = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
+    return encoded.mapInArrow(run, f"{kinds}, `{text}` string")
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """The tokenising digest of ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return encode(docs, ["doc_id"], ranks_path, pattern, DIGEST)
 
 
 def default_vocabulary() -> tuple[str, str]:
