@@ -17,7 +17,9 @@ import heapq
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,14 +89,14 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Pattern, ranks and a bounded cache from pre-token to ids as text."""
+    """Pattern, ranks and a bounded cache from pre-token to its ids as text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks, self.find, self.cache = ranks, regex.compile(pattern).findall, {}
         self.match = regex.compile(pattern).finditer
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.bytes_of = {str(rank): token for token, rank in ranks.items()}
 
     def pretokens(self, text: str) -> list[str]:
         """All pre-tokens of a text, chunk by chunk."""
@@ -110,32 +112,37 @@ class Codec:
         return ends if last else [e for e in ends if e < start + len(piece)]
 
     def encode(self, text: str) -> list[int]:
-        return self.ids(self.pretokens(text))
+        return self.ids(self.pretokens(text)).tolist()
 
-    def _ids(self, token: str) -> tuple[list[int], str, int]:
+    def _written(self, token: str) -> str:
+        """The decimal ids of a pre-token, joined by spaces: what the cache holds."""
         if (hit := self.cache.get(token)) is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            ids = merge(token.encode(), self.ranks)
-            hit = self.cache[token] = (ids, " ".join(map(str, ids)), len(ids))
+            hit = self.cache[token] = " ".join(map(str, merge(token.encode(), self.ranks)))
         return hit
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def _runs(self, tokens: list[str]) -> Iterator[str]:
+        """The decimal ids of all tokens, joined by spaces, in runs of bounded length."""
+        get, own = self.cache.get, self._written
+        for at in range(0, len(tokens), 1 << 16):
+            yield " ".join([get(t) or own(t) for t in tokens[at : at + (1 << 16)]])
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        out = [np.fromstring(run, np.int32, sep=" ") for run in self._runs(tokens)]
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
-    def ids(self, tokens: list[str]) -> list[int]:
-        get = self.cache.get
-        return [i for t in tokens for i in (get(t) or self._ids(t))[0]]
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes_of[str(i)] for i in ids])
 
     def digest(self, tokens: list[str]) -> tuple[int, str, str]:
-        """n_tokens, sha256 of the decimal ids joined by spaces, sha256 of the decoded bytes."""
-        ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-        get, bytes_of = self.cache.get, self.bytes_of
-        for at in range(0, len(tokens), 1 << 16):
-            hits = [get(t) or self._ids(t) for t in tokens[at : at + (1 << 16)]]
-            ids_hash.update((" " * (at > 0) + " ".join([h[1] for h in hits])).encode())
-            n += sum([h[2] for h in hits])
-            text_hash.update(b"".join([bytes_of[i] for h in hits for i in h[0]]))
+        """n_tokens, sha256 of the decimal ids joined by spaces, sha256 of the bytes that the ids decode to."""
+        ids_hash, text_hash, n, bytes_of = hashlib.sha256(), hashlib.sha256(), 0, self.bytes_of
+        for run in self._runs(tokens):
+            ids_hash.update(((" " if n else "") + run).encode())
+            ids = run.split(" ")
+            n += len(ids)
+            text_hash.update(b"".join([bytes_of[i] for i in ids]))
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
@@ -203,10 +210,30 @@ DIGEST = ("n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64()
 IDS = ("n_tokens long, ids array<int>", [pa.int64(), pa.list_(pa.int32())], lambda codec, tokens: (len(found := codec.ids(tokens)), found))
 
 
+#: Text bytes of the pieces that batches are worked off in, which bounds what their ids take.
+LIGHT = 4 << 20
+
+
+def _light(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about LIGHT bytes of text."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LIGHT, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _rows(keep: pa.Table | pa.RecordBatch, found: list[tuple], form: tuple) -> list[pa.Array]:
     """The kept columns and those of ``found``."""
     columns = list(zip(*found)) if found else [()] * len(form[1])
-    return [*keep.columns, *[pa.array(c, t) for c, t in zip(columns, form[1])]]
+    return [*keep.columns, *[_lists(c) if pa.types.is_list(t) else pa.array(c, t) for c, t in zip(columns, form[1])]]
+
+
+def _lists(arrays: tuple[np.ndarray, ...]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
 
 
 def encode(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, form: tuple = IDS) -> DataFrame:
@@ -222,9 +249,9 @@ def encode(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, form
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in batches:
-            found = [form[2](codec, codec.find(t)) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(_rows(batch.select(keep), found, form), names)
+        for part in _light(batches, "_text"):
+            found = [form[2](codec, codec.find(t)) for t in part.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(_rows(part.select(keep), found, form), names)
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*kept, form[0]])
