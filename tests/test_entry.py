@@ -1,0 +1,41 @@
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    c = duckdb.connect()
+    for f in glob.glob(f"{sf_dir}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+    return c
+
+
+def rows(table):
+    clean = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else float(f"{v:.9g}") if isinstance(v, float) else v
+    names = sorted(table.column_names)
+    return names, sorted(([clean(v) for v in r] for r in zip(*(table.column(c).to_pylist() for c in names))), key=repr)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_every_sql_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert len(entry.queries()) >= 80
+
+
+def test_queries_match_sql(spark, con, sf_dir):
+    queries, sql = entry.queries(), entry.oracle_sql()
+    wrong = []
+    for name in queries:
+        if name in sql and not name.startswith(("op", "pipeline")):
+            if rows(queries[name](spark, sf_dir).toArrow()) != rows(con.execute(sql[name]).to_arrow_table()):
+                wrong.append(name)
+    assert not wrong
