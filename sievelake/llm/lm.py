@@ -26,7 +26,7 @@ from .common import crc_mod, written
 
 ORDER = 4
 #: Text bytes of a block; positions handled at a time inside it; size of a dense lookup table, beyond which a sorted one serves.
-BLOCK, SLICE, DENSE = 24 << 20, 1 << 22, 1 << 26
+BLOCK, SLICE, DENSE = 24 << 20, 1 << 20, 1 << 26
 #: Bytes that UTF-8 never has, for the marks before a text and after it; values that a symbol can take.
 START, END, SYMBOLS = 0xFF, 0xFE, 255
 
@@ -251,7 +251,8 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         hashes, counts = term[~gram], value[~gram]
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order]
-        known_words: dict[bytes, tuple[float, int]] = {}
+        known_words: dict[bytes, float] = {}
+        floor, same = float(log(np.float64(0))), {}  # of unknown words; equal values are one object
         base, n_known, n_tokens = [], [], []
         for t in texts:
             w = _words(t)
@@ -260,10 +261,10 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
                 h = word_hashes(fresh)
                 at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
                 c = np.where(hashes[at] == h, counts[at], 0.0) if len(hashes) else np.zeros(len(h))
-                known_words.update(zip(fresh, zip(log(c).tolist(), (c > 0).tolist())))
+                known_words.update((x, same.setdefault(v, v)) for x, v in zip(fresh, log(c).tolist()))
             got = [known_words[x] for x in w]
-            base.append(sum([g[0] for g in got]) + float(log(np.float64(ends))))
-            n_known.append(sum([g[1] for g in got]) + (ends > 0))
+            base.append(sum(got) + float(log(np.float64(ends))))
+            n_known.append(len(got) - got.count(floor) + (ends > 0))
             n_tokens.append(len(w) + 1)
         size = len(texts)
         return pa.table(
