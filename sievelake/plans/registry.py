@@ -14,8 +14,9 @@ from sievelake.operators import bitmaps, search
 from sievelake.plans.planner import Predicate as P
 from sievelake.plans.planner import where
 from sievelake.sources import catalog
-from sievelake.sources.files import text_key, with_lowered
+from sievelake.sources.files import with_lowered
 from sievelake.sources.index import PatternIndex
+from sievelake.sources.partitioned import PartitionedIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -319,6 +320,12 @@ def index_stats(spark, sf_dir):
     return index.stats().select("active", "slots", (F.col("free")).alias("free"), "tombstones", "inserts", "deletes", "updates", F.col("max_len").cast("long").alias("max_len"))
 
 
+@query("SELECT n_name, n_regionkey FROM nation WHERE n_name LIKE '%A%' AND n_regionkey IN (1, 2)")
+def index_partitions(spark, sf_dir):
+    index = PartitionedIndex.build(_table(spark, sf_dir, "nation"), _fresh(spark), ["n_name"], "n_regionkey")
+    return index.search([P("n_name", "LIKE", "%A%")], [1, 2]).select("n_name", "n_regionkey")
+
+
 # -- catalog --------------------------------------------------------------------------------------------------------
 
 _OPS = ", ".join(f"('text_ops', {k}, '{catalog.SIGNS[k]}', 'text', 'text', '{name}')" for k, name in catalog.OPERATORS.items())
@@ -353,6 +360,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-
-__all__ = ["queries", "oracle_sql", "text_key"]
