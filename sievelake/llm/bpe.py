@@ -19,13 +19,14 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import light
+
 #: Code points in a chunk, and how far a chunk runs into the next one at first; more is added where no boundary meets.
 CHUNK, OVERLAP = 1 << 17, 1 << 10
-#: Entries of the pre-token cache of a Python worker; when full it is emptied. It changes speed only.
+#: Entries of a task's pre-token cache; when full it is emptied. It changes speed only.
 CACHE = 400_000
 
 
@@ -194,15 +195,9 @@ def _pretokens(codec: Codec, text: str, ends: list[list[int]]) -> list[str]:
     return [text[a:b] for a, b in pairwise(cuts)]
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    """One codec per Python worker, built from the broadcast vocabulary."""
-    if (key := id(shared.value)) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(*shared.value)
-    return _CODECS[key]
+    """A task's codec, built from the broadcast vocabulary; it goes when the task ends."""
+    return Codec(*shared.value)
 
 
 #: What an encoder makes of the pre-tokens of a text: Spark columns, Arrow fields, function.
@@ -210,21 +205,6 @@ DIGEST = ("n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64()
 IDS = ("n_tokens long, ids array<int>", [pa.int64(), pa.list_(pa.int32())], lambda codec, tokens: (len(found := codec.ids(tokens)), found))
 
 
-#: Text bytes of the pieces that batches are worked off in, which bounds what their ids take.
-LIGHT = 4 << 20
-
-
-def _light(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about LIGHT bytes of text."""
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(batch):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LIGHT, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def _rows(keep: pa.Table | pa.RecordBatch, found: list[tuple], form: tuple) -> list[pa.Array]:
     """The kept columns and those of ``found``."""
     columns = list(zip(*found)) if found else [()] * len(form[1])
@@ -242,21 +222,26 @@ def encode(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, form
     The vocabulary at ``ranks_path`` is read on the driver and broadcast: its size is fixed (about 50,000 ranks). No special
     tokens: their strings in a text are ordinary text. Repeated rows and null ids give one row each.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((load_ranks(ranks_path), pattern))
-    texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    names = [*keep, *[c.split(" ")[0] for c in form[0].split(", ")]]
+    made = [c.split(" ")[0] for c in form[0].split(", ")]
+    if clash := {c.lower() for c in keep} & set(made):
+        raise ValueError(f"columns to keep have names of columns to make: {sorted(clash)}")
+    shared = docs.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), pattern))
+    asked, kinds = keep, [docs.schema[c].dataType.simpleString() for c in keep]
+    keep = [f"k{i}" for i in range(len(keep))]  # names that can't clash with those used on the way
+    texts = docs.select(*[F.col(c).alias(k) for c, k in zip(asked, keep)], F.coalesce("text", F.lit("")).alias("_text"))
+    names = [*keep, *made]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for part in _light(batches, "_text"):
+        for part in light(batches, "_text"):
             found = [form[2](codec, codec.find(t)) for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(_rows(part.select(keep), found, form), names)
 
-    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    kept = [f"{k} {kind}" for k, kind in zip(keep, kinds)]
     schema = ", ".join([*kept, form[0]])
     small = texts.where(F.length("_text") <= CHUNK).mapInArrow(short, schema)
-    return small.unionByName(_encode_long(texts.where(F.length("_text") > CHUNK), shared, keep, kept, form, names))
+    both = small.unionByName(_encode_long(texts.where(F.length("_text") > CHUNK), shared, keep, kept, form, names))
+    return both.select(*[F.col(k).alias(c) for c, k in zip(asked, keep)], *made)
 
 
 def _encode_long(texts: DataFrame, shared, keep: list[str], kept: list[str], form: tuple, names: list[str]) -> DataFrame:

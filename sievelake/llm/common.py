@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,19 @@ def default_parallelism(df: DataFrame) -> int:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+
+
+#: Text bytes of the pieces that Arrow batches are worked off in: what a Python worker makes of a piece stays small.
+LIGHT = 4 << 20
+
+
+def light(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about LIGHT bytes of text (one row at least)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LIGHT, "right")))
+            yield batch.slice(at, to - at)
+            at = to

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, light
 
 #: Bytes of a window, states in each direction, and windows that are run side by side.
 WINDOW, HIDDEN, SIDE = 64, 8, 1024
@@ -241,7 +241,7 @@ def with_language(docs: DataFrame, net: Network | None, keep: list[str]) -> Data
         import regex
 
         has_letter = regex.compile(r"\p{L}").search
-        for batch in batches:
+        for batch in light(batches, "_text"):
             langs, scores = _predict(run, has_letter, batch.column("_text").to_pylist())
             own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
@@ -268,7 +268,7 @@ def keep_sure(docs: DataFrame, least: float = 0.5) -> DataFrame:
         import regex
 
         has_letter = regex.compile(r"\p{L}").search
-        for batch in batches:
+        for batch in light(batches, "text"):
             langs, scores = _predict(run, has_letter, batch.column("text").to_pylist())
             yield batch.filter(pa.array([a != UNKNOWN and s >= least for a, s in zip(langs, scores)], pa.bool_()))
 

@@ -107,7 +107,8 @@ def take_mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int
     In seeded order the documents that repeat once more end at a cut in each source, so texts are never shuffled: a row
     only meets its source's cut. Rows that stand exactly at a cut are equal in (doc_id, text); as many repeat as fit.
     """
-    rows = docs.withColumn("_x", F.xxhash64("text")).withColumn("_h", place(["doc_id", "_x"], seed))
+    # the row travels as one struct, so that no column of it can clash with those used here
+    rows = docs.select("source", "doc_id", F.xxhash64("text").alias("_x"), F.struct(*docs.columns).alias("_row")).withColumn("_h", place(["doc_id", "_x"], seed))
     sized = docs.select("doc_id", F.xxhash64("text").alias("_x"), "source", word_count(F.col("text")).alias("size"))
     mixed = mix(sized, ["doc_id", "_x"], share, epochs, seed).withColumn("_h", place(["doc_id", "_x"], seed))
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
@@ -119,4 +120,4 @@ def take_mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int
     turn = F.row_number().over(Window.partitionBy("source", "_h").orderBy("doc_id"))
     ties = met.where(on_cut).withColumn("_times", F.col("_whole") + (turn <= F.col("_cut._fit")).cast("long"))
     taken = plain.unionByName(ties).where(F.col("_times") > 0)
-    return taken.withColumn("_copy", F.explode(F.expr("sequence(1, cast(_times as int))"))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.expr("sequence(1, cast(_times as int))"))).select("_row.*")

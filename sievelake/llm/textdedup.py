@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import light, written
 from .graph import components
 
 SIMILARITY, WORDS = 0.8, 5
@@ -34,7 +34,7 @@ SLOTS = 1 << 20
 #: Classes in a part of a bucket, classes in a part of a component, classes in one batch of either.
 BUCKET_PART, PART, BATCH = 2048, 1024, 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Entries of a Python worker's word cache; when full it is emptied.
+#: Entries of a task's word cache; when full it is emptied.
 CACHE = 400_000
 
 
@@ -106,7 +106,7 @@ def word_slots(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, found = Shingler(), np.zeros(SLOTS, np.int64)
-        for batch in batches:
+        for batch in light(batches, "text"):
             for t in batch.column("text").cast(pa.large_binary()).to_pylist():
                 found[np.unique((shingler.words(t or b"") >> np.uint64(44)).astype(np.int64))] += 1
         at = np.flatnonzero(found)
@@ -125,7 +125,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
         import xxhash
 
         shingler, sampler = Shingler(idf.value), Sampler()
-        for batch in batches:
+        for batch in light(batches, "text"):
             hi, lo, samples = [], [], []
             for t in batch.column("text").cast(pa.large_binary()).to_pylist():
                 words = shingler.words(t or b"")
@@ -285,14 +285,14 @@ def similarities(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: i
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, group_id, kept: one row per row of ``docs`` (doc_id, text).
+    """doc_id, class_id, copy_id, kept: one row per row of ``docs`` (doc_id, text).
 
-    class_id: the smallest id among documents of the same words in the same order (case of A-Z and white space aside);
-    group_id: the smallest id among documents linked, directly or by others, with weighted Jaccard similarity of ``least``
-    or more; kept: doc_id = group_id. Null texts and texts without words link with nothing; rows without an id are kept, with
-    null class and group. Rows that repeat an id are one document. Other columns are ignored.
+    class_id: the smallest id among documents linked, directly or by others, with weighted Jaccard similarity of ``least`` or
+    more; copy_id: the smallest id among documents of the same words in the same order (case of A-Z and white space aside);
+    kept: doc_id = class_id. Null texts and texts without words link with nothing; rows without an id are kept, with
+    null class and copy. Rows that repeat an id are one document. Other columns are ignored.
     """
-    return _near_duplicates(docs, least).select("doc_id", "class_id", "group_id", "kept")
+    return _near_duplicates(docs, least).select("doc_id", "class_id", "copy_id", "kept")
 
 
 def _near_duplicates(docs: DataFrame, least: float) -> DataFrame:
@@ -305,10 +305,10 @@ def _near_duplicates(docs: DataFrame, least: float) -> DataFrame:
     of = hopeful.select(F.col("node").alias("_n"), "component")
     texts = written(rows.join(of, F.col("doc_id") == F.col("_n")).groupBy(F.col("doc_id").alias("node"), "component").agg(F.min("text").alias("text")), "candidate-texts")
     groups = components(written(exact_links(texts, idf, least), "near")).select(F.col("node").alias("_g"), F.col("component").alias("group"))
-    whole = classes.join(groups, F.col("node") == F.col("_g"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("node").alias("class_id"), F.coalesce("group", "node").alias("group_id"))
-    linked = with_words.join(whole, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).select("doc_id", "class_id", "group_id")
-    alone = signed.where("hi is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
+    whole = classes.join(groups, F.col("node") == F.col("_g"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("node").alias("copy_id"), F.coalesce("group", "node").alias("class_id"))
+    linked = with_words.join(whole, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).select("doc_id", "class_id", "copy_id")
+    alone = signed.where("hi is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -316,5 +316,6 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Rows that repeat the kept id all stay; deduplicate ids first where they may repeat.
     """
-    gone = near_duplicates(docs, least).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, least).where(~F.col("kept")).select("doc_id").distinct()
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row"))
+    return rows.join(gone, "doc_id", "left_anti").select("_row.*")

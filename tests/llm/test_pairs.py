@@ -188,9 +188,9 @@ def docs(spark):
 def test_text_dedup(docs):
     same, groups = brute_groups(texts(), textdedup.word_slots(docs.select("doc_id", "text")))
     got = {r["doc_id"]: r for r in textdedup.near_duplicates(docs).collect()}
-    assert {i: r["class_id"] for i, r in got.items()} == same
-    assert {i: r["group_id"] for i, r in got.items()} == groups
-    assert all(r["kept"] == (i == r["group_id"]) for i, r in got.items())
+    assert {i: r["copy_id"] for i, r in got.items()} == same
+    assert {i: r["class_id"] for i, r in got.items()} == groups
+    assert all(r["kept"] == (i == r["class_id"]) for i, r in got.items())
     assert len(set(groups.values())) < len(groups) - 60
     kept = textdedup.keep_one(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(groups.values())

@@ -29,7 +29,7 @@ def test_stages(spark, sf_dir):
     known = [i for i in labels if i in original]
     assert sum((i in good) == bool(labels[i]) for i in known) / len(known) > 0.9
     # near-duplicates: one of each group that the operator finds, which is tested against brute force
-    groups = {r["doc_id"]: r["group_id"] for r in textdedup.near_duplicates(frames[2]).collect()}
+    groups = {r["doc_id"]: r["class_id"] for r in textdedup.near_duplicates(frames[2]).collect()}
     assert {r["doc_id"] for r in frames[3].collect()} == set(groups.values())
     words, taken, most = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in frames[3].collect():
