@@ -54,6 +54,12 @@ def _hash_rows(unit: np.ndarray, labels: np.ndarray, k: int, tables: int, seed:
     return out.view(np.int64)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; first by their largest component, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For n nodes with links (a, b): the index of the node of smallest ``order`` in each one's component."""
     low = order.copy()
@@ -71,6 +77,8 @@ def link_counts(rows: DataFrame, least: float, seed: int = 23) -> tuple[DataFram
     rows = rows.select("node", F.xxhash64("label").alias("label"), "vector", "weight")
     count = rows.count()
     k, tables = plan(count, least)
+    # vectors travel as the bytes that the table has
+    kind = np.float32 if rows.schema["vector"].dataType.elementType.simpleString() == "float" else np.float64
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,26 +87,22 @@ def link_counts(rows: DataFrame, least: float, seed: int = 23) -> tuple[DataFram
             for size in np.unique(sizes):
                 own = batch.filter(pa.array(sizes == size)) if (sizes != size).any() else batch
                 x = matrix(own.column("vector"))
-                unit = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-                keys = _hash_rows(unit, own.column("label").to_numpy(), k, tables, seed)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column("node"), own.column("weight"), pa.array([r.tobytes() for r in unit], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "weight", "unit", "keys"]
-                )
+                keys = _hash_rows(_unit(x), own.column("label").to_numpy(), k, tables, seed)
+                raw = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column("node"), own.column("weight"), raw, pa.array(list(keys), pa.list_(pa.int64()))], ["node", "weight", "raw", "keys"])
 
-    table = written(rows.mapInArrow(hashed, "node long, weight long, unit binary, keys array<long>"), "vector-keys")
+    table = written(rows.mapInArrow(hashed, "node long, weight long, raw binary, keys array<long>"), "vector-keys")
     single = table.select("node", F.posexplode("keys").alias("t", "key"))
     crowd = single.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("_k"), F.expr(f"cast((c + {PART - 1}) div {PART} as int)").alias("parts"))
-    met = table.select("node", "weight", "unit", "keys", F.posexplode("keys").alias("t", "key")).join(crowd, F.col("key") == F.col("_k"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    paired = met.withColumn("p", part).withColumn("o", F.explode(F.expr("sequence(0, parts - 1)")))
+    # which bucket, and which pair of its parts, a vector goes to is settled on narrow rows; the vector joins them last
+    met = single.join(crowd, F.col("key") == F.col("_k")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    paired = met.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)"))).select("node", "t", "key", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
     batches = max(1, -(-count * tables // BATCH))
-    work = paired.select(
-        "node", "weight", "unit", "keys", "t", "key", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"),
-    ).withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(batches)))
+    work = paired.join(table.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n").withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(batches)))
 
     def check(group: pa.Table) -> pa.Table:
         node, weight, p, i, j, t, key = (group.column(c).to_numpy() for c in ("node", "weight", "p", "i", "j", "t", "key"))
-        unit, keys = group.column("unit").combine_chunks(), group.column("keys").combine_chunks()
+        raw, keys = group.column("raw").combine_chunks(), group.column("keys").combine_chunks()
         order = np.lexsort((j, i, key))
         cut = np.flatnonzero(np.r_[True, (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)])
         out_node, out_links, out_root = [], [], []
@@ -106,7 +110,7 @@ def link_counts(rows: DataFrame, least: float, seed: int = 23) -> tuple[DataFram
             rows_ = order[a:b]
             if b - a < 2:
                 continue
-            x = np.stack([np.frombuffer(unit[int(r)].as_py(), np.float64) for r in rows_])
+            x = _unit(np.stack([np.frombuffer(raw[int(r)].as_py(), kind) for r in rows_]).astype(np.float64))
             near = x @ x.T >= least - 1e-12
             near = np.triu(near, 1)
             if i[rows_[0]] != j[rows_[0]]:
