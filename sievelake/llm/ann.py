@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import default_parallelism, written
 from .vectors import matrix, usable
 
 #: Centroids for each half; vectors that they are learnt from at most; share of the rows that a query visits at least (recall is
 #: about 0.95 with it on directions without any structure, the hardest case); rows of a part; queries of a block.
-CENTROIDS, SAMPLE, PROBE, PART, BLOCK = 16, 20_000, 0.65, 16_384, 2048
+CENTROIDS, SAMPLE, PROBE, PART, BLOCK = 16, 20_000, 0.65, 32_768, 16_384
+#: Rows below which a part isn't cut further to keep more tasks busy; scores that a task holds at a time.
+LEAST, SCORES = 4096, 1 << 22
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
@@ -96,7 +98,7 @@ def search(vectors: DataFrame, is_query, neighbours: int = 20, probe: float = PR
     want = max(probe * sizes.sum(), neighbours + 1)
     # a cell's rows start at its offset in a virtual order of all rows; parts are runs of it, a large cell takes several
     first = np.cumsum(sizes) - sizes
-    parts = int(max(1, -(-sizes.sum() // part)))
+    parts = int(max(1, -(-sizes.sum() // part), min(default_parallelism(vectors), -(-sizes.sum() // LEAST))))
     blocks = int(max(1, -(-table.where("_query").count() // block)))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +125,9 @@ def search(vectors: DataFrame, is_query, neighbours: int = 20, probe: float = PR
         visits = [set(v) for v in group.column("visits").filter(pa.array(asks)).to_pylist()]
         at = {int(k): slice(int(np.searchsorted(by_cell, k)), int(np.searchsorted(by_cell, k, "right"))) for k in np.unique(by_cell)}
         found: list[tuple] = []
-        for s in range(0, len(qi), 256):
-            who = range(s, min(s + 256, len(qi)))
+        run = max(1, SCORES // max(1, len(ci)))
+        for s in range(0, len(qi), run):
+            who = range(s, min(s + run, len(qi)))
             score = np.full((len(who), len(ci)), -np.inf)
             for k, where in at.items():
                 asked = [i - s for i in who if k in visits[i]]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKEN
+from .common import TOKEN, written
 
 #: Hex digits of a row's place that name its bucket: 256 buckets in each source, in the order of the places.
 BUCKET_DIGITS = 2
@@ -114,7 +114,9 @@ def take_mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
     at = mixed.groupBy("source", "_h").agg(F.min(whole).alias("_whole"), F.sum(F.col("repeats") - whole).alias("_fit"))
     cuts = at.groupBy("source").agg(F.min("_whole").alias("_whole"), F.max(F.when(F.col("_fit") > 0, F.struct("_h", "_fit"))).alias("_cut"))
-    met = _join_null_safe(rows, cuts)
+    # one row for each source, written so that its size is known: a small table is broadcast and texts stay where they are,
+    # a large one is joined by shuffle, with skewed sources split
+    met = _join_null_safe(rows, written(cuts, "cuts"))
     inside, on_cut = F.coalesce(F.col("_h") < F.col("_cut._h"), F.lit(False)), F.coalesce(F.col("_h") == F.col("_cut._h"), F.lit(False))
     plain = met.where(~on_cut).withColumn("_times", F.col("_whole") + inside.cast("long"))
     turn = F.row_number().over(Window.partitionBy("source", "_h").orderBy("doc_id"))

@@ -83,6 +83,20 @@ FROM c GROUP BY conv_id
 """
 
 
+_OP9_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Roles in the driver tables are plain words, which percent-encoding leaves as they are."""
-    return {"op3_mixing": _OP3_SQL, "op8_chat_formatting": _OP8_SQL}
+    return {"op3_mixing": _OP3_SQL, "op8_chat_formatting": _OP8_SQL, "op9_embedding_dedup": _OP9_SQL}

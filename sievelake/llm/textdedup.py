@@ -35,7 +35,7 @@ SLOTS = 1 << 20
 BUCKET_PART, PART, BATCH = 2048, 1024, 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a task's word cache; when full it is emptied.
-CACHE = 400_000
+CACHE = 100_000
 
 
 class Shingler:
