@@ -11,7 +11,7 @@ from sievelake.sources.index import PatternIndex
 
 ROWS = [
     ("alpha", "x1"), ("alphabet", None), (None, "x1"), ("", "x2"), ("ALPHA", "y"), ("a_ex", "x"), ("alex", "x"), ("あ", "め"), ("め", "あ"), ("ぁ", "あ"), ("100%", "%"), ("aba", "ab"), ("ab" * 40, "b"),
-    ("a" * 300, "a"), ("É", "é"), ("tab\tnew\nline", "z"), ("a\\b", "z"), (None, None), ("xyz" * 3, "xyz"), ("aXbXc", "X"),
+    ("a" * 300, "a"), ("É", "é"), ("tab\tnew\nline", "z"), ("a\\b", "z"), (None, None), ("xyz" * 3, "xyz"), ("aXbXc", "X"), ("😀a", "x"), ("a😀b", None),
 ]
 
 
@@ -25,7 +25,7 @@ def index(table, tmp_path):
     return PatternIndex.build(table, f"file://{tmp_path}/one", ["s", "t"])
 
 
-PATTERNS = ["", "%", "_", "a%", "%a", "%a%", "alpha", "ALPHA", "%l_x%", r"%\_%", r"%\%", "%a%b%a%", "ab%ba", "a%b", "%X%X%", "_X_X_", "%_%_%_%", "あ", "め%", "%xyz%xyz%", "%xyz%xyz%xyz%xyz%", "_%a", "a_%_a", "%\n%", r"%\\%", "a%e_", "%b%_"]
+PATTERNS = ["", "%", "_", "a%", "%a", "%a%", "alpha", "ALPHA", "%l_x%", r"%\_%", r"%\%", "%a%b%a%", "ab%ba", "a%b", "%X%X%", "_X_X_", "%_%_%_%", "あ", "め%", "%xyz%xyz%", "%xyz%xyz%xyz%xyz%", "_%a", "a_%_a", "%\n%", r"%\\%", "a%e_", "%b%_", "😀%", "%😀_", "_a"]
 
 
 def test_index_agrees_with_matcher(index):
@@ -38,7 +38,7 @@ def test_index_agrees_with_matcher(index):
 
 def test_null_in_one_key_hides_nothing(index):
     assert [r["id"] for r in index.search([Predicate("s", "LIKE", "alphab%")]).collect()] == [1]
-    assert sorted(r["id"] for r in index.search([Predicate("t", "LIKE", "x%"), Predicate("s", "NOT LIKE", "a%")]).collect()) == [3, 18]
+    assert sorted(r["id"] for r in index.search([Predicate("t", "LIKE", "x%"), Predicate("s", "NOT LIKE", "a%")]).collect()) == [3, 18, 20]
     assert index.search([Predicate("s", "LIKE", None)]).count() == 0
     assert index.search([]).count() == len(ROWS)
     with pytest.raises(KeyError):
