@@ -259,8 +259,11 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_sure(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a pooled probability of ``least`` or more; the columns are those of ``docs``."""
+def keep_sure(docs: DataFrame, least: float = 0.35) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with a pooled probability of ``least`` or more; the columns are those of ``docs``.
+
+    What goes has no letters, or is as good as undecided between the languages. Clean texts of a few words that two languages share stay.
+    """
     net = learn(docs)
     run = net.ready() if net else None
 
