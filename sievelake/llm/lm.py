@@ -6,7 +6,7 @@ the symbols of the longer one are excluded, and at last to all remaining byte va
 context also stand in its shorter ones, what is excluded depends on the last context alone. So every (ORDER+1)-gram has one
 log probability, found level by level with joins and windows over at most 256 rows a key.
 
-Documents are dealt into blocks by a hash. A block sends its different words and n-grams, not its positions, to be counted;
+Documents are dealt into blocks. A block sends its different words and n-grams, not its positions, to be counted;
 counts and log probabilities come back to the block that has them, and it scores its texts with its own dictionary.
 So no table of the corpus is broadcast or collected, a word in every text costs one row a block, and memory is a block's.
 
@@ -16,13 +16,16 @@ A text's symbols are its UTF-8 bytes and one end mark; its first context is star
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, small_batches, written
 
 ORDER = 4
 #: Text bytes of a block; positions handled at a time inside it; size of a dense lookup table, beyond which a sorted one serves.
@@ -31,13 +34,23 @@ BLOCK, SLICE, DENSE = 24 << 20, 1 << 20, 1 << 26
 START, END, SYMBOLS = 0xFF, 0xFE, 255
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """doc_id, text (null: empty), train, blk: blocks of about ``block_bytes``, as many as the input's bytes ask for."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
+def blocked(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, bool]:
+    """doc_id, text (null: empty), train, blk; and whether blocks are runs of rows in their files.
+
+    Blocks are about ``block_bytes`` of text, as many as the input's bytes ask for. Rows that come from files are blocked by file and
+    row number, so that one scan task holds most of a block and nothing is shuffled to count it; other rows by a hash.
+    Any fixed rule gives the same scores.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    n = max(1, -(-(size["bytes"] or 0) // block_bytes))
     text = F.coalesce(F.col("text"), F.lit(""))
-    blk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text, F.lit(17)), F.lit(n)).cast("int")
-    return docs.select("doc_id", text.alias("text"), (crc_mod("doc_id", 7) != 2).alias("train"), blk.alias("blk"))
+    train = crc_mod("doc_id", 7) != 2
+    try:
+        run = F.expr(f"_metadata.row_index div {max(1, size['rows'] // n)}")
+        return docs.select("doc_id", text.alias("text"), train.alias("train"), F.xxhash64(F.col("_metadata.file_path"), run).alias("blk")), True
+    except AnalysisException:  # not the rows of files
+        blk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text, F.lit(17)), F.lit(n))
+        return docs.select("doc_id", text.alias("text"), train.alias("train"), blk.alias("blk")), False
 
 
 def _texts(column: pa.ChunkedArray) -> list[bytes]:
@@ -115,7 +128,7 @@ def _chunks(framed: np.ndarray):
         yield framed[i : i + SLICE + ORDER]
 
 
-_TERMS = pa.schema([("blk", pa.int32()), ("gram", pa.bool_()), ("term", pa.int64()), ("n", pa.int64())])
+_TERMS = pa.schema([("blk", pa.int64()), ("gram", pa.bool_()), ("term", pa.int64()), ("n", pa.int64())])
 
 
 def _block_terms(group: pa.Table) -> pa.Table:
@@ -134,7 +147,23 @@ def _block_terms(group: pa.Table) -> pa.Table:
     blk = group.column("blk")[0].as_py()
     terms, all_n = np.concatenate([words, keys]), np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), n])
     gram = np.arange(len(terms)) >= len(words)
-    return pa.table([pa.array(np.full(len(terms), blk, np.int32)), pa.array(gram), pa.array(terms), pa.array(all_n)], schema=_TERMS)
+    return pa.table([pa.array(np.full(len(terms), blk, np.int64)), pa.array(gram), pa.array(terms), pa.array(all_n)], schema=_TERMS)
+
+
+def _run_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_block_terms of every run of rows of one block; a block that comes in several runs has several rows for a term."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        blk = batch.column("blk").to_numpy()
+        cuts = [0, *(np.flatnonzero(blk[1:] != blk[:-1]) + 1).tolist(), len(blk)]
+        for a, b in pairwise(cuts):
+            if held and b > a and held[0].column("blk")[0].as_py() != blk[a]:
+                yield from _block_terms(pa.Table.from_batches(held)).to_batches(1 << 18)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from _block_terms(pa.Table.from_batches(held)).to_batches(1 << 18)
 
 
 def gram_log_probs(grams: DataFrame) -> DataFrame:
@@ -228,8 +257,10 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     Null and empty texts have one token, the end; null ids teach; without training texts every symbol is uniform and the
     base is that of no counts. Repeated rows all teach and all get rows. Columns besides doc_id and text are ignored.
     """
-    rows = blocked(docs, block_bytes)
-    terms = written(rows.groupBy("blk").applyInArrow(_block_terms, "blk int, gram boolean, term long, n long"), "lm-terms")
+    small_batches(docs.sparkSession)
+    rows, in_runs = blocked(docs, block_bytes)
+    schema = "blk long, gram boolean, term long, n long"
+    terms = written(rows.mapInArrow(_run_terms, schema) if in_runs else rows.groupBy("blk").applyInArrow(_block_terms, schema), "lm-terms")
     words = terms.where(~F.col("gram"))
     total = words.groupBy("term").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     ends = docs.where(crc_mod("doc_id", 7) != 2).count()
@@ -244,13 +275,11 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         texts = _texts(group.column("text"))
         gram = dictionary.column("gram").to_numpy().astype(bool)
         term, value = dictionary.column("term").to_numpy(), dictionary.column("value").to_numpy()
-        keys = term[gram]
-        order = np.argsort(keys)
-        score = _log_probs(texts, GramTable(keys[order], value[gram][order]))
+        keys, order = np.unique(term[gram], return_index=True)
+        score = _log_probs(texts, GramTable(keys, value[gram][order]))
         log = lambda c: np.log10((c + 1) / (n + v + 1))
-        hashes, counts = term[~gram], value[~gram]
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order]
+        hashes, order = np.unique(term[~gram], return_index=True)
+        counts = value[~gram][order]
         known_words: dict[bytes, float] = {}
         floor, same = float(log(np.float64(0))), {}  # of unknown words; equal values are one object
         base, n_known, n_tokens = [], [], []

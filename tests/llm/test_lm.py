@@ -72,6 +72,15 @@ def test_block_size_changes_nothing(spark):
     close(run(spark, rows, block_bytes=200), list(brute(rows)))
 
 
+def test_blocks_of_files(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "the cat"), (5, TEXTS[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for size in (1 << 20, 300, 10):
+        assert lm.blocked(docs, size)[1]
+        close([tuple(r) for r in lm.score_documents(docs, block_bytes=size).collect()], list(brute(rows)))
+
+
 def test_no_rows_and_no_training_rows(spark):
     assert run(spark, []) == []
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
