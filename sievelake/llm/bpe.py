@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import light
+from .common import light, small_batches
 
 #: Code points in a chunk, and how far a chunk runs into the next one at first; more is added where no boundary meets.
 CHUNK, OVERLAP = 1 << 17, 1 << 10
@@ -225,6 +225,7 @@ def encode(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, form
     made = [c.split(" ")[0] for c in form[0].split(", ")]
     if clash := {c.lower() for c in keep} & set(made):
         raise ValueError(f"columns to keep have names of columns to make: {sorted(clash)}")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), pattern))
     asked, kinds = keep, [docs.schema[c].dataType.simpleString() for c in keep]
     keep = [f"k{i}" for i in range(len(keep))]  # names that can't clash with those used on the way

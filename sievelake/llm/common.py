@@ -45,6 +45,17 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+#: Rows of an Arrow batch of texts, where the session sets none: batches of ten thousand texts would weigh tens of MB on either side.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Give the session ARROW_ROWS rows a batch, unless it has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 #: Text bytes of the pieces that Arrow batches are worked off in: what a Python worker makes of a piece stays small.
 LIGHT = 4 << 20
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, light
+from .common import crc_mod, light, small_batches
 
 #: Bytes of a window, states in each direction, and windows that are run side by side.
 WINDOW, HIDDEN, SIDE = 64, 8, 1024
@@ -235,6 +235,7 @@ def _predict(run: Runner | None, has_letter, texts: list[str | None]) -> tuple[l
 
 def with_language(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """``keep``, ``lang_pred`` and ``score``, one row per row of ``docs``; null or letterless texts: ``und`` and 0."""
+    small_batches(docs.sparkSession)
     run = net.ready() if net else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +265,7 @@ def keep_sure(docs: DataFrame, least: float = 0.35) -> DataFrame:
 
     What goes has no letters, or is as good as undecided between the languages. Clean texts of a few words that two languages share stay.
     """
+    small_batches(docs.sparkSession)
     net = learn(docs)
     run = net.ready() if net else None
 

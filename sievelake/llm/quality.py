@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, light, written
+from .common import crc_mod, light, small_batches, written
 
 THRESHOLD = 0.3
 _KINDS = np.zeros(256, np.intp)  # 0 other symbol, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 sentence mark, 7 beyond ASCII
@@ -77,6 +77,7 @@ def statistics(text: str) -> np.ndarray:
 
 def document_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` plus ``_x`` (array of double, see NAMES): one row per row of ``docs``; null texts are empty."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in light(batches, "_text"):

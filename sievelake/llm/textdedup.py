@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import light, written
+from .common import light, small_batches, written
 from .graph import components
 
 SIMILARITY, WORDS = 0.8, 5
@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def _near_duplicates(docs: DataFrame, least: float) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = docs.sparkSession.sparkContext.broadcast(word_slots(rows))  # SLOTS floats: 4 MB at every size of the input
     signed = written(_signatures(rows, idf), "signatures")
