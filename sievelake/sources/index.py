@@ -207,12 +207,12 @@ class PatternIndex:
         self.rows().where(condition).select("rid").write.parquet(f"{self.path}/dead/{segment}")
         return self.spark.read.parquet(f"{self.path}/dead/{segment}").count(), segment
 
-    def delete(self, condition: Column) -> int:
-        """Mark the rows that satisfy ``condition``; with CLEANUP marks or more the index is rewritten. The number of rows."""
+    def delete(self, condition: Column, cleanup: bool = True) -> int:
+        """Mark the rows that satisfy ``condition``; with CLEANUP marks or more the index is rewritten, unless ``cleanup`` is off. The number of rows."""
         n, segment = self._bury(condition)
         m = self.manifest
         self._publish(replace(m, dead=[*m.dead, segment], deletes=m.deletes + n, tombstones=m.tombstones + n))
-        if self.manifest.tombstones >= CLEANUP:
+        if cleanup and self.manifest.tombstones >= CLEANUP:
             self.compact()
         return n
 

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from sievelake.functions.matcher import matches
 from sievelake.operators import bitmaps
+from sievelake.plans import registry
 from sievelake.plans.planner import Predicate
 from sievelake.sources.catalog import Catalog, size_pretty
-from sievelake.sources.index import PatternIndex
+from sievelake.sources.index import CLEANUP, PatternIndex
 
 ROWS = [
     ("alpha", "x1"), ("alphabet", None), (None, "x1"), ("", "x2"), ("ALPHA", "y"), ("a_ex", "x"), ("alex", "x"), ("あ", "め"), ("め", "あ"), ("ぁ", "あ"), ("100%", "%"), ("aba", "ab"), ("ab" * 40, "b"),
@@ -87,6 +88,25 @@ def test_many_deletions_clean_up(spark, tmp_path):
     assert index.count([Predicate("s", "LIKE", "v%")]).first()["n"] == 1300
 
 
+def test_cleanup_on_both_sides_of_the_bound(spark, tmp_path):
+    for n, cleanup, want in ((CLEANUP - 1, True, (CLEANUP - 1, 0)), (CLEANUP, True, (0, CLEANUP)), (CLEANUP, False, (CLEANUP, 0))):
+        index = PatternIndex.build(spark.range(1500).select("id", F.col("id").cast("string").alias("s")), f"file://{tmp_path}/{n}{cleanup}", ["s"])
+        assert index.delete(F.col("id") < n, cleanup=cleanup) == n
+        row = index.stats().first()
+        assert (row["tombstones"], row["free"]) == want and (row["active"], row["deletes"]) == (1500 - n, n)
+
+
+def test_index_stats_match_sql_beyond_the_bound(spark):
+    duckdb = pytest.importorskip("duckdb")
+    for sf, beyond in (("sf0.001", False), ("sf0.1", True)):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('/root/testdata/{sf}/part.parquet')")
+        want = con.execute(registry.oracle_sql()["index_stats"])
+        want = dict(zip([d[0] for d in want.description], want.fetchone()))
+        assert (want["deletes"] >= CLEANUP) == beyond
+        assert registry.queries()["index_stats"](spark, f"/root/testdata/{sf}").first().asDict() == want
+
+
 def test_empty_table_and_types(spark, tmp_path):
     empty = spark.createDataFrame([], "s string")
     index = PatternIndex.build(empty, f"file://{tmp_path}/e", ["s"])
