@@ -313,10 +313,15 @@ def _near_duplicates(docs: DataFrame, least: float) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the document of smallest id. The columns are those of ``docs``.
+    """The rows of ``docs`` that stay: one of each group, that of smallest id (null ids last). The columns are those of ``docs``.
 
-    Rows that repeat the kept id all stay; deduplicate ids first where they may repeat.
+    Rows are told apart by a written number, not by their ids: of rows that repeat an id, or have none, one stays where they are near
+    copies, and an id with different texts loses only the rows that are copies. Null texts and texts without words all stay.
     """
-    gone = near_duplicates(docs, least).where(~F.col("kept")).select("doc_id").distinct()
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row"))
-    return rows.join(gone, "doc_id", "left_anti").select("_row.*")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_n"), F.struct(*docs.columns).alias("_doc")), "numbered")
+    groups = near_duplicates(numbered.select(F.col("_n").alias("doc_id"), F.col("_doc.text").alias("text")), least).select(F.col("doc_id").alias("_m"), "class_id")
+    ids = numbered.select("_n", F.col("_doc.doc_id").alias("doc_id"))
+    found = written(groups.join(ids, F.col("_m") == F.col("_n")).select("_n", "doc_id", "class_id"), "groups")
+    stay = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_n")).alias("_first")).select("_first._n")
+    gone = found.select("_n").join(stay, "_n", "left_anti")
+    return numbered.join(gone, "_n", "left_anti").select("_doc.*")

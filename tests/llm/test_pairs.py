@@ -210,6 +210,26 @@ def test_text_dedup_edges(spark):
     assert textdedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = [[f"{c}{k}" for k in range(60)] for c in "abcdefg"]
+    text = [" ".join(w) for w in words]
+    near = [" ".join([*w[:-1], "other"]) for w in words]
+    rows = [
+        (3, text[0]), (3, text[0]), (3, near[0]), (8, text[0]),  # a repeated id, its own near copy and another's copy
+        (None, text[1]), (None, text[1]), (None, near[1]),  # no id at all
+        (None, text[2]), (5, near[2]),  # an id goes before none
+        (10, text[3]), (11, text[3]), (11, text[4]),  # only one of the two texts of 11 is a copy
+        (20, text[5]), (20, text[6]), (21, near[5]), (22, near[6]),  # near copies of either text of 20
+        (30, None), (30, None), (None, ""), (None, ""),  # without words
+    ]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _n int").repartition(3)
+    kept = textdedup.keep_one(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    group = lambda t: None if not t else t.split()[0]
+    assert sorted(((i, group(t)) for i, t in got), key=repr) == sorted([(3, "a0"), (None, "b0"), (5, "c0"), (10, "d0"), (11, "e0"), (20, "f0"), (20, "g0"), (30, None), (30, None), (None, None), (None, None)], key=repr)
+
+
 def test_similarity_products_equal_sums():
     sh = textdedup.Shingler(np.random.default_rng(0).random(textdedup.SLOTS).astype(np.float32) + 1)
     own = [sh.shingles(sh.words(t.encode())) for _, t in texts() if t and t.strip()][:60]
