@@ -260,14 +260,17 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_sure(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a pooled probability of ``least`` or more; the columns are those of ``docs``.
+def keep_sure(docs: DataFrame, times: float = 1.4) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with a pooled probability of ``times`` / L or more; the columns are those of ``docs``.
 
-    What goes has no letters, or is as good as undecided between the languages. Clean texts of a few words that two languages share stay.
+    L is the number of learnt languages, so the bound is ``times`` the probability of a guess: 0.35 of four, 0.7 of two. With one
+    there is nothing to decide between, and all texts with letters stay. What goes has no letters, or is as good as undecided
+    between the languages. Clean texts of a few words that two of four languages share stay.
     """
     small_batches(docs.sparkSession)
     net = learn(docs)
     run = net.ready() if net else None
+    least = times / len(net.langs) if net and len(net.langs) > 1 else 0.0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex

@@ -161,3 +161,19 @@ def test_language_edges(spark):
     assert langid.identify_documents(df.limit(0)).count() == 0
     kept = langid.keep_sure(df)
     assert kept.columns == df.columns and kept.where("doc_id in (900, 901, 902)").count() == 0
+
+
+def test_stage_keeps_by_score(spark):
+    """What stays is what identify_documents scores ``times`` / L or more, for any number of languages; texts half and half must go."""
+    words = {"en": "the cat and ", "de": "für über ß ", "fr": "où ça déjà ", "pl": "żółw gęś "}
+    for n, mixed in ((1, False), (2, True), (4, True)):
+        own = list(words.items())[:n]
+        rows = [(i, w * 40, lang) for i, (lang, w) in enumerate(own * 30)] + [(900, "123 !?", "en")]
+        rows += [(1000 + k, "".join(w * k for _, w in own), None) for k in (1, 6, 11, 22)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        score = {r["doc_id"]: r["score"] for r in langid.identify_documents(df).collect()}
+        kept = {r["doc_id"] for r in langid.keep_sure(df).collect()}
+        assert kept == {i for i, s in score.items() if s > 0 and (n == 1 or s >= 1.4 / n)}
+        assert set(range(len(own) * 30)) <= kept and 900 not in kept
+        gone = {i for i in score if i >= 1000} - kept
+        assert bool(gone) == mixed, score
