@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,17 +67,18 @@ def search(vectors: DataFrame, is_query, neighbours: int = 20, probe: float = PR
     """query_id, rank (from 1), vec_id, score: for every row of ``vectors`` (vec_id, embedding) where ``is_query`` holds.
 
     score is the inner product in double precision of the vectors as they are; ties go to the smaller vec_id; a query doesn't find rows
-    of its own id. Vectors that are null, zero or hold null or non-finite components, ids that are null, and vectors of another
-    length than the most common one take no part. With no more candidates than ``neighbours``, all are returned.
+    of its own id. Vectors that are null, zero or hold null or non-finite components and ids that are null take no part. Each length of
+    vectors has an index of its own, and queries find vectors of their length (an id with two lengths has neighbours of either). With
+    no more candidates than ``neighbours``, all are returned.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("_query")).where(usable("embedding") & F.col("vec_id").isNotNull())
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    common = rows.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if common is None:
-        return spark.createDataFrame([], schema)
-    width = common["w"]
-    rows = rows.where(F.size("embedding") == width)
+    widths = rows.groupBy(F.size("embedding").alias("w")).agg(F.count_if("_query").alias("asks")).where("asks > 0").orderBy("w").collect()
+    found = [_search(rows.where(F.size("embedding") == r["w"]), r["w"], neighbours, probe, centroids, part, block) for r in widths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, width: int, neighbours: int, probe: float, centroids: int, part: int, block: int) -> DataFrame:
+    """``search`` among usable rows (vec_id, embedding, _query) of one length."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     x = matrix(sample.column("embedding"), width)
     half = (width + 1) // 2
@@ -90,7 +92,7 @@ def search(vectors: DataFrame, is_query, neighbours: int = 20, probe: float = PR
             cell = nearest(x[:, :half], one) * len(two) + nearest(x[:, half:], two) if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], [*batch.schema.names, "cell"])
 
-    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = rows.schema["embedding"].dataType.simpleString()
     table = written(rows.mapInArrow(index, f"vec_id long, embedding {kind}, _query boolean, cell int"), "vector-index")
     sizes = np.zeros(cells, np.int64)
     for r in table.groupBy("cell").count().collect():  # at most centroids squared rows
@@ -98,7 +100,7 @@ def search(vectors: DataFrame, is_query, neighbours: int = 20, probe: float = PR
     want = max(probe * sizes.sum(), neighbours + 1)
     # a cell's rows start at its offset in a virtual order of all rows; parts are runs of it, a large cell takes several
     first = np.cumsum(sizes) - sizes
-    parts = int(max(1, -(-sizes.sum() // part), min(default_parallelism(vectors), -(-sizes.sum() // LEAST))))
+    parts = int(max(1, -(-sizes.sum() // part), min(default_parallelism(rows), -(-sizes.sum() // LEAST))))
     blocks = int(max(1, -(-table.where("_query").count() // block)))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

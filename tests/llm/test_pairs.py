@@ -129,6 +129,18 @@ def test_search_ties_and_edges(spark):
     assert ann.search_embeddings(few.where("vec_id = 0")).count() == 0
 
 
+def test_search_keeps_lengths_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(5, 8, 1)[i % 3]).tolist()) for i in range(240)]
+    df = spark.createDataFrame([(*r, 0, "", 0) for r in rows], SCHEMA).repartition(3)
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, neighbours=10, probe=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    own = {i: np.array(v) for i, v in rows}
+    want = {i: sorted((j for j in own if j != i and len(own[j]) == len(own[i])), key=lambda j: (-float(own[i] @ own[j]), j))[:10] for i in range(0, 240, 20)}
+    assert got == want
+
+
 def test_search_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16))
