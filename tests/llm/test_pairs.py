@@ -154,6 +154,32 @@ def test_search_recall(spark):
     assert np.mean([len(got[i] & set(np.argsort(-s[i])[:20].tolist())) / 20 for i in range(0, 3000, 20)]) >= 0.9
 
 
+def recall(spark, df, ids, x):
+    got = defaultdict(set)
+    for r in ann.search_embeddings(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    found = []
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[k]
+        s[ids == ids[k]] = -np.inf
+        found.append(len(got[ids[k]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    return np.mean(found)
+
+
+@pytest.mark.parametrize("width", [128, 256])
+def test_search_recall_on_wide_vectors(spark, width):
+    x = np.random.default_rng(2).normal(size=(4000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "", 0) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    assert recall(spark, df, np.arange(4000), x) >= 0.92
+
+
+def test_search_recall_on_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    assert recall(spark, df, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)) >= 0.95
+
+
 def test_walk_goes_by_summed_value():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=5), rng.normal(size=4)
