@@ -28,6 +28,30 @@ def test_pattern_join(spark):
         search.pattern_join(df, "s", patterns, small=2)
 
 
+def test_pattern_join_in_blocks(spark):
+    df = spark.createDataFrame([(f"v{i % 40}",) for i in range(60)] + [(None,)], "s string").repartition(3)
+    patterns = spark.createDataFrame([(p,) for p in [f"v{i}%" for i in range(20)] + ["%", "%", "%3", None]], "pattern string")
+    pairs = lambda d: sorted((r["s"], r["pattern"]) for r in d.collect())
+    joined = search.pattern_join(df, "s", patterns, block=5)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert pairs(joined) == pairs(search.pattern_join(df, "s", patterns)) != []
+
+
+def test_pattern_join_with_many_patterns(spark):
+    df = spark.createDataFrame([("p7",), ("p100400",), ("q",)], "s string")
+    many = spark.range(100_500).select(F.concat(F.lit("p"), "id").alias("pattern"))
+    assert sorted((r["s"], r["pattern"]) for r in search.pattern_join(df, "s", many).collect()) == [("p100400", "p100400"), ("p7", "p7")]
+
+
+def test_stream_meets_many_patterns(spark, tmp_path):
+    spark.createDataFrame([("p7",), ("p100400",), ("q",)], "s string").write.parquet(f"{tmp_path}/in")
+    many = spark.range(100_500).select(F.concat(F.lit("p"), "id").alias("pattern"))
+    joined = filters.matches_of(spark.readStream.schema("s string").parquet(f"{tmp_path}/in"), many, "s")
+    joined.writeStream.format("memory").queryName("many").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["pattern"] for r in spark.table("many").collect()) == ["p100400", "p7"]
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
 def test_formats(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
