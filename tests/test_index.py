@@ -107,6 +107,20 @@ def test_index_stats_match_sql_beyond_the_bound(spark):
         assert registry.queries()["index_stats"](spark, f"/root/testdata/{sf}").first().asDict() == want
 
 
+def test_append_of_a_whole_table(spark, tmp_path):
+    part = spark.read.parquet("/root/testdata/sf0.1/part.parquet").select("p_partkey", "p_name")
+    more = part.select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), F.concat(F.lit("zz "), F.col("p_name")).alias("p_name"))
+    index = PatternIndex.build(part, f"file://{tmp_path}/a", ["p_name"])
+    index.append(more)
+    n, row = part.count(), index.stats().first()
+    assert (row["active"], row["slots"], row["inserts"]) == (2 * n, 2 * n, n)
+    both = part.union(more)
+    for p in ("zz%", "%ring", "zz%l r_n%"):
+        got = sorted(tuple(r) for r in index.search([Predicate("p_name", "LIKE", p)]).collect())
+        assert got == sorted(tuple(r) for r in both.collect() if matches(r["p_name"], p)) and got
+        assert max(k for k, _ in got) > 1_000_000
+
+
 def test_empty_table_and_types(spark, tmp_path):
     empty = spark.createDataFrame([], "s string")
     index = PatternIndex.build(empty, f"file://{tmp_path}/e", ["s"])
