@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +21,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+_RUNS: set[str] = set()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", "")):
-        found = "file://" + tempfile.mkdtemp(prefix="sievelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, one machine (a local master) gets a temporary folder; a cluster an error, since its
+    executors would each write to a disk of their own. The session's settings are left as they are.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", ""):
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="sievelake-"))
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one. It is removed when the driver ends, or earlier by ``cleanup``."""
+    path = f"{shared_dir(spark)}/sievelake-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        p, fs = _fs(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _RUNS.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: lineage ends there, and lost executors lose nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove written tables that nothing reads any more; other frames are left alone."""
+    for t in tables:
+        if t is not None and (path := _PATHS.pop(t, None)):
+            p, fs = _fs(t.sparkSession, path)
+            fs.delete(p, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove all tables that this application's operators wrote; results that are still to be read need them."""
+    path = run_dir(spark)
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+    _RUNS.discard(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def default_parallelism(df: DataFrame) -> int:
@@ -50,7 +96,10 @@ ARROW_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Give the session ARROW_ROWS rows a batch, unless it has a setting of its own."""
+    """Give the session ARROW_ROWS rows a batch, unless it has a setting of its own.
+
+    Spark reads this setting when a result is computed, long after an operator has returned it, so it can't be put back.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if key not in spark.conf.getAll:
         spark.conf.set(key, str(ARROW_ROWS))

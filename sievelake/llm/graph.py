@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,16 +23,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
         to = written(least.select(F.col("a").alias("node"), F.when(F.col("m") < rank("a"), F.col("m.b")).otherwise(F.col("a")).alias("to")), "to")
-        to = written(_follow(_follow(to, to), to), "to")
+        first, to = to, written(_follow(_follow(to, to), to), "to")
+        discard(first)
         at = lambda name: to.select(F.col("node").alias(f"_{name}"), F.col("to").alias(f"_to_{name}"))
         moved = left.join(at("a"), F.col("a") == F.col("_a")).join(at("b"), F.col("b") == F.col("_b"))
-        left = written(_undirected(moved.select(F.col("_to_a").alias("a"), F.col("_to_b").alias("b"))), "links")
-        found = written(to if found is None else _follow(found, to), "roots")
+        before, left = left, written(_undirected(moved.select(F.col("_to_a").alias("a"), F.col("_to_b").alias("b"))), "links")
+        discard(before)
+        if found is None:
+            found = to
+        else:
+            older, found = found, written(_follow(found, to), "roots")
+            discard(older, to)
         turn += 1
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = found.groupBy("to").agg(F.min("node").alias("component")).withColumnRenamed("to", "_root")
-    return written(found.join(roots, F.col("to") == F.col("_root")).select("node", "component"), "components")
+    out = written(found.join(roots, F.col("to") == F.col("_root")).select("node", "component"), "components")
+    discard(left, found)
+    return out
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
