@@ -4,7 +4,7 @@ Each half is quantised by K centroids learnt on a bounded sample; a vector's cel
 A query ranks the centroids of either half by inner product and walks the pairs in order of the summed values with a
 heap, until the cells passed hold a share (``probe_of``) of all rows. The rows of those cells are reranked by the exact inner product.
 
-Rows are dealt into parts of about PART by cell (a hot cell over several), queries into blocks; every (block, part) is one
+Rows are dealt into equal parts of PART at most by cell (a hot cell over several), queries into blocks; every (block, part) is one
 piece of work that multiplies, cell by cell, only the queries that visit the cell, and sends each query's best on.
 """
 
@@ -69,6 +69,13 @@ def probe_of(width: int) -> float:
     return next((share for most, share in PROBES if width <= most), WIDE)
 
 
+def deal(total: int, part: int, tasks: int) -> tuple[int, int]:
+    """(parts, rows in each): parts of ``part`` rows at most, and down to LEAST rows where that keeps more of ``tasks`` busy."""
+    parts = max(1, -(-total // part), min(tasks, -(-total // LEAST)))
+    size = max(1, -(-total // parts))
+    return max(1, -(-total // size)), size
+
+
 def search(vectors: DataFrame, is_query, neighbours: int = 20, probe: float | None = None, centroids: int = CENTROIDS, part: int = PART, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for every row of ``vectors`` (vec_id, embedding) where ``is_query`` holds.
 
@@ -106,7 +113,7 @@ def _search(rows: DataFrame, width: int, neighbours: int, probe: float, centroid
     want = max(probe * sizes.sum(), neighbours + 1)
     # a cell's rows start at its offset in a virtual order of all rows; parts are runs of it, a large cell takes several
     first = np.cumsum(sizes) - sizes
-    parts = int(max(1, -(-sizes.sum() // part), min(default_parallelism(rows), -(-sizes.sum() // LEAST))))
+    parts, size = deal(int(sizes.sum()), part, default_parallelism(rows))
     blocks = int(max(1, -(-table.where("_query").count() // block)))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +126,7 @@ def _search(rows: DataFrame, width: int, neighbours: int, probe: float, centroid
     queries = table.where("_query").select("vec_id", "embedding").mapInArrow(visits, f"vec_id long, embedding {kind}, visits array<int>")
     offset = F.element_at(F.array(*[F.lit(int(v)) for v in first]), F.col("cell") + 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(int(max(1, v))) for v in sizes]), F.col("cell") + 1))
     none = F.lit(None).cast("array<int>")
-    left = table.select(F.col("vec_id"), "embedding", "cell", none.alias("visits"), F.expr(f"explode(sequence(0, {blocks - 1}))").alias("block"), F.least((offset / part).cast("int"), F.lit(parts - 1)).alias("part"))
+    left = table.select(F.col("vec_id"), "embedding", "cell", none.alias("visits"), F.expr(f"explode(sequence(0, {blocks - 1}))").alias("block"), (offset / size).cast("int").alias("part"))
     right = queries.select("vec_id", "embedding", F.lit(None).cast("int").alias("cell"), "visits", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.expr(f"explode(sequence(0, {parts - 1}))").alias("part"))
 
     def rerank(group: pa.Table) -> pa.Table:
