@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TOKEN, written
+from .sharding import unfold
 
 #: Hex digits of a row's place that name its bucket: 256 buckets in each source, in the order of the places.
 BUCKET_DIGITS = 2
@@ -34,10 +35,10 @@ def place(id_cols: list[str], seed: int) -> Column:
 def targets(sources: DataFrame, weight: Column, share: float = 1.5, epochs: float = 2.0) -> DataFrame:
     """``source``, ``source_size``, ``weight``, ``target`` from a table of sources (source, source_size), one row each.
 
-    Sources of size 0 get 0. If the budget is more than all caps, every source is at its cap.
+    Sources of size 0 get 0. If the budget is more than all caps, every source is at its cap. The levels are windows over the sources,
+    one narrow row each, in one task: fit for millions of sources, not for a source for each document of a huge corpus.
     """
     everything = Window.partitionBy()
-    # one row per source: a window over all of them is over the number of sources, not of documents
     s = sources.withColumn("weight", weight.cast("double")).withColumn("_cap", F.col("source_size") * F.lit(float(epochs)))
     s = s.withColumn("_budget", F.sum("source_size").over(everything) * F.lit(float(share)))
     order = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
@@ -57,9 +58,11 @@ def mix(docs: DataFrame, id_cols: list[str], share: float = 1.5, epochs: float =
     documents in seeded order while the middle of the document is inside the remaining share, so a source's words come
     within half a document of its target. Rows equal in all columns are counted, not shuffled; which of them repeats is no matter.
     """
-    cols = [*id_cols, "source", "size"]
-    grouped = docs.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
-    grouped = grouped.withColumn("_h", place(id_cols, seed)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    # the id columns get names that can't clash with those used on the way
+    ids = [f"i{k}" for k in range(len(id_cols))]
+    cols = [*ids, "source", "size"]
+    grouped = docs.select(*[F.col(c).alias(i) for i, c in zip(ids, id_cols)], "source", "size").groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    grouped = grouped.withColumn("_h", place(ids, seed)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
     parts = grouped.groupBy("source", "_b").agg(F.sum(F.col("size") * F.col("_c")).alias("_words"))
     sizes = parts.groupBy("source").agg(F.sum("_words").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -78,9 +81,10 @@ def mix(docs: DataFrame, id_cols: list[str], share: float = 1.5, epochs: float =
     room = F.col("_left") - F.col("_ahead") - F.col("_before")
     # of _c equal rows, number i (from 0) repeats once more if the middle of its words is inside
     extra = F.when(F.col("size") > 0, F.least(F.col("_c"), F.greatest(F.lit(0).cast("long"), F.floor(F.try_divide(room, F.col("size")) + 0.5)))).otherwise(F.lit(0)).cast("long")
-    placed = placed.withColumn("_extra", extra).withColumn("_k", F.explode(F.expr("sequence(1L, _c)")))
+    placed = placed.withColumn("_extra", extra)
+    placed = unfold(placed.select(*cols, "_c", "source_size", "target", "_whole", "_extra"), "_c")
     repeats = F.col("_whole") + F.when(F.col("_k") <= F.col("_extra"), 1).otherwise(0)
-    return placed.select(*cols, "source_size", "target", repeats.cast("long").alias("repeats"))
+    return placed.select(*[F.col(i).alias(c) for i, c in zip(ids, id_cols)], "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"))
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, also: list[str] | None = None) -> DataFrame:

@@ -19,6 +19,14 @@ ROUNDS = 6
 #: Steps of the cycle walk. The domain a*b is under n + a with a = ceil(sqrt n): up to n = 3969 the walk ends within
 #: a + 1 <= 64 steps by construction, above that a value outside is rarer than 1 in 63 at each step.
 WALK = 64
+#: Copies of one row that are numbered by one task.
+RUN = 4096
+
+
+def unfold(df: DataFrame, count: str) -> DataFrame:
+    """Each row ``count`` times, with its turn ``_k`` from 1: runs of RUN copies are dealt over the tasks before they are spelled out."""
+    runs = df.withColumn("_run", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {RUN})"))).repartition(F.xxhash64(*df.columns), "_run")
+    return runs.withColumn("_k", F.explode(F.expr(f"sequence(_run * {RUN} + 1, least({count}, (_run + 1) * {RUN}))"))).drop("_run")
 
 
 def row_numbers(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -42,8 +50,7 @@ def row_numbers(df: DataFrame, cols: list[str]) -> DataFrame:
         ).alias("_b", "_first"),
     )
     return (
-        ranged.join(F.broadcast(sums), "_b")
-        .withColumn("_k", F.explode(F.expr("sequence(1L, _c)")))
+        unfold(ranged.join(F.broadcast(sums), "_b"), "_c")
         .select(*cols, (F.col("_first") + F.col("_end") - F.col("_k")).alias("row_number"), "n_rows")
     )
 
@@ -65,19 +72,21 @@ def feistel(number: Column, n: Column, seed: int = 7) -> Column:
 
     first = once(number)
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(first < n, first).otherwise(walked)
+    return F.when(first < n, first).when(walked < n, walked).otherwise(F.raise_error(F.lit(f"no place after {WALK} steps of the cycle walk")).cast("long"))
 
 
 def shard(df: DataFrame, cols: list[str], shards: int = 16, seed: int = 7) -> DataFrame:
     """``cols``, ``row_number``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within its shard), one row per row of ``df``.
 
     Nulls are values like others, equal rows get different slots, an empty table gives an empty result. Columns of
-    ``df`` outside ``cols`` are neither read nor returned.
+    ``df`` outside ``cols`` are neither read nor returned; ``cols`` may have any names, also those used on the way.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
-    placed = row_numbers(df.select(*cols), cols).withColumn("_p", feistel(F.col("row_number"), F.col("n_rows"), seed))
-    return placed.select(*cols, "row_number", F.pmod("_p", F.lit(shards)).cast("int").alias("shard"), F.expr(f"_p div {int(shards)}").alias("slot"))
+    own = [f"c{i}" for i in range(len(cols))]
+    named = [F.col(o).alias(c) for o, c in zip(own, cols)]
+    placed = row_numbers(df.select(*[F.col(c).alias(o) for o, c in zip(own, cols)]), own).withColumn("_p", feistel(F.col("row_number"), F.col("n_rows"), seed))
+    return placed.select(*named, "row_number", F.pmod("_p", F.lit(shards)).cast("int").alias("shard"), F.expr(f"_p div {int(shards)}").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
