@@ -93,8 +93,8 @@ def test_vector_dedup_edges(spark):
 
 def test_plan_meets_its_miss_rate():
     for n in (10, 10**5, 10**9):
-        k, tables = vecdedup.plan(n, 0.98)
-        assert (1 - vecdedup.share_probability(0.2) ** k) ** tables <= vecdedup.MISS
+        k, tables, width = vecdedup.plan(n, 0.98)
+        assert (1 - vecdedup.share_probability(0.2, width) ** k) ** tables <= vecdedup.MISS
 
 
 def brute_search(rows, k):
