@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text is cut into chunks that overlap. Each chunk is split into pre-tokens by itself; neighbours are stitched at the first
-pre-token boundary that both have (the pattern looks ahead but never back, so from a common boundary on both agree).
-Only pre-tokens that end before their chunk's end count: those no later text can change. The pieces are then merged by rank.
-Decoding concatenates the raw bytes of the ids.
-
-Texts of at most one chunk go straight through ``mapInArrow``. Longer ones are exploded into chunks, dealt out by
-chunk, pre-tokenised apart, and stitched by text, so one huge text isn't one task's work up to the final merge.
+Every text is cut into chunks of CHUNK code points that run OVERLAP into the next one. Each chunk is split into pre-tokens by itself,
+as if nothing stood before it. Neighbours are stitched at the first pre-token boundary that both have: the pattern looks
+ahead but never back, so from a common boundary on both agree. The last pre-tokens of a chunk that the text goes on behind count for
+nothing (UNSURE): those the rest of the text could change. The pieces are then merged by rank. Decoding concatenates the raw bytes
+of the ids.
+
+The chunks of a text follow each other through the task that has the text: its pre-tokens and ids exist for a few
+chunks at a time only, whatever its length. (Dealing the chunks over other tasks and back would shuffle all texts twice.)
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import light, small_batches
 
-#: Code points in a chunk, and how far a chunk runs into the next one at first; more is added where no boundary meets.
-CHUNK, OVERLAP = 1 << 17, 1 << 10
+#: Code points in a chunk, and how far a chunk runs into the next one.
+CHUNK, OVERLAP = 1 << 10, 1 << 7
+#: Pre-tokens before a cut that later text may change. The last may grow; and the one before it, where the last is what a longer
+#: match would have taken along (an apostrophe before half of its ending, white space before a line end).
+UNSURE = 2
 #: Entries of a task's pre-token cache; when full it is emptied. It changes speed only.
 CACHE = 400_000
 
@@ -96,24 +100,48 @@ class Codec:
         import regex
 
         self.ranks, self.find, self.cache = ranks, regex.compile(pattern).findall, {}
-        self.match = regex.compile(pattern).finditer
         self.bytes_of = {str(rank): token for token, rank in ranks.items()}
 
-    def pretokens(self, text: str) -> list[str]:
-        """All pre-tokens of a text, chunk by chunk."""
-        if len(text) <= CHUNK:
-            return self.find(text)
-        return _pretokens(self, text, [self.boundaries(text, i) for i in range(0, len(text), CHUNK)])
-
-    def boundaries(self, text: str, start: int, size: int = CHUNK + OVERLAP) -> list[int]:
-        """Ends of the trusted pre-tokens of the chunk that starts at ``start``."""
-        piece = text[start : start + size]
-        last = start + size >= len(text)
-        ends = [start + m.end() for m in self.match(piece)]
-        return ends if last else [e for e in ends if e < start + len(piece)]
+    def split(self, piece: str, ends: bool) -> list[str]:
+        """The pre-tokens of a piece of text by itself; without the unsure ones, unless the text ``ends`` with it."""
+        tokens = self.find(piece)
+        if sum(map(len, tokens)) != len(piece):
+            raise ValueError("the pattern must cover all of a text")
+        return tokens if ends else tokens[:-UNSURE]
+
+    def pretokens(self, text: str) -> Iterator[list[str]]:
+        """All pre-tokens of a text in order, a run for each chunk."""
+        held: list[str] = []  # split already, but ending behind the next chunk's start: the chunks agree on them first
+        at = 0  # where they begin
+        for start in range(0, max(1, len(text)), CHUNK):
+            stop = start + CHUNK
+            own = self.split(text[start : stop + OVERLAP], stop + OVERLAP >= len(text))
+            out, tokens, at = stitch(held, at, own, start)
+            if tokens is None:  # no boundary that both have: what is held is sure, and the text is split anew from its end
+                tokens = self._anew(text, at, stop)
+            # tokens go on from ``at``; those that end by the next chunk's start are done
+            size = 0
+            total = sum(map(len, tokens))
+            while size < len(tokens) and stop < len(text) and at + total > stop:
+                size += 1
+                total -= len(tokens[-size])
+            done = len(tokens) - size
+            yield out + tokens[:done]
+            at, held = at + total, tokens[done:]
+        yield held
+
+    def _anew(self, text: str, at: int, stop: int) -> list[str]:
+        """Sure pre-tokens from the boundary ``at`` until one ends at or behind ``stop`` (or the text does)."""
+        out, size = [], CHUNK + OVERLAP
+        while at < min(stop, len(text)):
+            found = self.split(text[at : at + size], at + size >= len(text))
+            out += found
+            at += sum(map(len, found))
+            size = CHUNK + OVERLAP if found else 2 * size  # a pre-token longer than the piece: look further
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return self.ids(self.pretokens(text)).tolist()
+        return self.ids(text).tolist()
 
     def _written(self, token: str) -> str:
         """The decimal ids of a pre-token, joined by spaces: what the cache holds."""
@@ -123,23 +151,28 @@ class Codec:
             hit = self.cache[token] = " ".join(map(str, merge(token.encode(), self.ranks)))
         return hit
 
-    def _runs(self, tokens: list[str]) -> Iterator[str]:
-        """The decimal ids of all tokens, joined by spaces, in runs of bounded length."""
-        get, own = self.cache.get, self._written
-        for at in range(0, len(tokens), 1 << 16):
-            yield " ".join([get(t) or own(t) for t in tokens[at : at + (1 << 16)]])
-
-    def ids(self, tokens: list[str]) -> np.ndarray:
-        out = [np.fromstring(run, np.int32, sep=" ") for run in self._runs(tokens)]
+    def _runs(self, text: str) -> Iterator[str]:
+        """The decimal ids of a text, joined by spaces, a run for a few chunks."""
+        get, own, run = self.cache.get, self._written, []
+        for tokens in self.pretokens(text):
+            run += [get(t) or own(t) for t in tokens]
+            if len(run) >= 4096:
+                yield " ".join(run)
+                run = []
+        if run:
+            yield " ".join(run)
+
+    def ids(self, text: str) -> np.ndarray:
+        out = [np.fromstring(run, np.int32, sep=" ") for run in self._runs(text)]
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[str(i)] for i in ids])
 
-    def digest(self, tokens: list[str]) -> tuple[int, str, str]:
+    def digest(self, text: str) -> tuple[int, str, str]:
         """n_tokens, sha256 of the decimal ids joined by spaces, sha256 of the bytes that the ids decode to."""
         ids_hash, text_hash, n, bytes_of = hashlib.sha256(), hashlib.sha256(), 0, self.bytes_of
-        for run in self._runs(tokens):
+        for run in self._runs(text):
             ids_hash.update(((" " if n else "") + run).encode())
             ids = run.split(" ")
             n += len(ids)
@@ -147,52 +180,22 @@ class Codec:
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
-def stitch(chunks: list[list[int]], length: int, again) -> list[int]:
-    """Boundaries of the whole text from those of its chunks, in order of their starts.
+def stitch(held: list[str], at: int, own: list[str], start: int) -> tuple[list[str], list[str] | None, int]:
+    """Where two chunks resynchronise: (pre-tokens of the earlier one up to there, those of the later one from there, the place).
 
-    From the last sure boundary on, the next chunk takes over at the first boundary it shares. Where a pre-token is
-    longer than the overlap and no boundary is shared, ``again(at)`` splits anew from the last sure boundary.
+    ``held`` begin at the boundary ``at``, ``own`` at ``start``; without a common boundary the second is None and all of ``held`` come first.
     """
-    out: list[int] = []
-    for k, own in enumerate(chunks):
-        if k == 0:
-            out.extend(own)
-            continue
-        start, have = k * CHUNK, set(own)
-        shared = next((i for i in range(len(out) - 1, -1, -1) if out[i] in have or out[i] == start), None)
-        floor = out[-1] if out else 0
-        if shared is not None and out[shared] >= start:
-            at = out[shared]
-            del out[shared + 1 :]
-            out.extend(e for e in own if e > at)
-        elif floor < start + CHUNK:
-            out.extend(_resume(floor, own, start + CHUNK, length, again))
-    while (out[-1] if out else 0) < length:
-        out.extend(_resume(out[-1] if out else 0, [], length, length, again))
-    return out
-
-
-def _resume(at: int, own: list[int], until: int, length: int, again) -> list[int]:
-    """Boundaries after ``at``: split anew from there until one is shared with ``own`` or ``until`` is passed."""
-    have, got = set(own), []
-    while at < min(until, length):
-        for e in again(at):
-            got.append(e)
-            if e in have:
-                return got + [x for x in own if x > e]
-        at = got[-1]
-    return got
-
-
-def _pretokens(codec: Codec, text: str, ends: list[list[int]]) -> list[str]:
-    def again(at: int) -> list[int]:
-        size = CHUNK + OVERLAP
-        while not (found := codec.boundaries(text, at, size)):
-            size *= 2  # a pre-token longer than the chunk: look further
-        return found
-
-    cuts = [0, *stitch(ends, len(text), again)]
-    return [text[a:b] for a, b in pairwise(cuts)]
+    if at == start:  # the text's start, or a boundary of the earlier chunk where the later one begins
+        return [], own, at
+    ends = {end: k for k, end in enumerate(accumulate(map(len, held), initial=at)) if end >= start}
+    last, end = max(ends, default=start), start
+    for k, token in enumerate([*own, ""]):
+        if end in ends:
+            return held[: ends[end]], own[k:], end
+        if end > last:
+            break
+        end += len(token)
+    return held, None, at + sum(map(len, held))
 
 
 def _codec(shared) -> Codec:
@@ -200,9 +203,9 @@ def _codec(shared) -> Codec:
     return Codec(*shared.value)
 
 
-#: What an encoder makes of the pre-tokens of a text: Spark columns, Arrow fields, function.
+#: What an encoder makes of a text: Spark columns, Arrow fields, function.
 DIGEST = ("n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], Codec.digest)
-IDS = ("n_tokens long, ids array<int>", [pa.int64(), pa.list_(pa.int32())], lambda codec, tokens: (len(found := codec.ids(tokens)), found))
+IDS = ("n_tokens long, ids array<int>", [pa.int64(), pa.list_(pa.int32())], lambda codec, text: (len(found := codec.ids(text)), found))
 
 
 def _rows(keep: pa.Table | pa.RecordBatch, found: list[tuple], form: tuple) -> list[pa.Array]:
@@ -232,51 +235,24 @@ def encode(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, form
     texts = docs.select(*[F.col(c).alias(k) for c, k in zip(asked, keep)], F.coalesce("text", F.lit("")).alias("_text"))
     names = [*keep, *made]
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for part in light(batches, "_text"):
-            found = [form[2](codec, codec.find(t)) for t in part.column("_text").to_pylist()]
+            found = [form[2](codec, t) for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(_rows(part.select(keep), found, form), names)
 
     kept = [f"{k} {kind}" for k, kind in zip(keep, kinds)]
-    schema = ", ".join([*kept, form[0]])
-    small = texts.where(F.length("_text") <= CHUNK).mapInArrow(short, schema)
-    both = small.unionByName(_encode_long(texts.where(F.length("_text") > CHUNK), shared, keep, kept, form, names))
-    return both.select(*[F.col(k).alias(c) for c, k in zip(asked, keep)], *made)
-
-
-def _encode_long(texts: DataFrame, shared, keep: list[str], kept: list[str], form: tuple, names: list[str]) -> DataFrame:
-    """The same for texts of more than one chunk: chunks are pre-tokenised apart, then stitched by text."""
-    keyed = texts.withColumn("_row", F.monotonically_increasing_id())
-    at = F.col("_part") * CHUNK
-    pieces = keyed.select(*keep, "_row", F.posexplode(F.expr(f"sequence(0, cast((length(_text) - 1) div {CHUNK} as int))")).alias("_part", "_p"), "_text")
-    pieces = pieces.select(*keep, "_row", "_part", (F.length("_text") <= at + CHUNK + OVERLAP).alias("_last"), F.substring("_text", at + 1, F.lit(CHUNK + OVERLAP)).alias("_piece"))
-    dealt = pieces.repartition("_row", "_part")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
-        for batch in batches:
-            ends = []
-            for part, last, piece in zip(*(batch.column(c).to_pylist() for c in ("_part", "_last", "_piece"))):
-                found = [m.end() for m in codec.match(piece)]
-                ends.append([part * CHUNK + e for e in (found if last else [e for e in found if e < len(piece)])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int64()))], [*batch.schema.names, "_ends"])
-
-    cut = dealt.mapInArrow(split, ", ".join([*kept, "_row long, _part int, _last boolean, _piece string, _ends array<long>"]))
-
-    def join(group: pa.Table) -> pa.Table:
-        codec = _codec(shared)
-        group = group.sort_by("_part")
-        pieces = group.column("_piece").to_pylist()
-        text = "".join([p[:CHUNK] for p in pieces[:-1]] + pieces[-1:])
-        found = form[2](codec, _pretokens(codec, text, group.column("_ends").to_pylist()))
-        return pa.Table.from_arrays(_rows(group.select(keep).slice(0, 1), [found], form), names)
-
-    return cut.groupBy("_row").applyInArrow(join, ", ".join([*kept, form[0]]))
+    encoded = texts.mapInArrow(run, ", ".join([*kept, form[0]]))
+    return encoded.select(*[F.col(k).alias(c) for c, k in zip(asked, keep)], *made)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``encoded`` with the text of its ids (null ids: null); bytes that are no UTF-8 become replacement marks."""
+    """``encoded`` with the text of its ids (null ids: null); bytes that are no UTF-8 become replacement marks.
+
+    The column ``text`` must be new. Repeated rows and an empty table come through as they are.
+    """
+    if text.lower() in {c.lower() for c in encoded.columns}:
+        raise ValueError(f"there is a column {text!r} already")
     shared = encoded.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
