@@ -3,7 +3,7 @@
 Texts are cut into windows of WINDOW bytes (ASCII capitals lowered). Inside each window a forward and a backward GRU read the bytes;
 at every byte a linear layer on both states gives the language's log odds. Byte probabilities are pooled over the
 letters of the whole document (ASCII letters and bytes beyond ASCII). Training is backpropagation through time with
-Adam, on windows of a bounded sample of labelled documents; nothing but the text reaches the network.
+Adam, on all windows of the whole texts of a bounded sample of labelled documents; nothing but the text reaches the network.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import crc_mod, light, small_batches
 
 #: Bytes of a window, states in each direction, and windows that are run side by side.
 WINDOW, HIDDEN, SIDE = 64, 8, 1024
-#: Training: labelled documents at most for each language, windows from each, passes. Bounds of the classifier's sample.
-SAMPLE, WINDOWS_EACH, PASSES = 400, 4, 10
+#: Training: labelled documents at most for each language (their whole texts are read), languages at most, passes, windows of a step.
+SAMPLE, LANGUAGES, PASSES, STEP = 64, 500, 5, 128
 UNKNOWN = "und"
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -97,7 +97,7 @@ class Network:
                 carry = g * z + rec @ self.u[way].T
         return loss, [*ge, *gu, gw, gb]
 
-    def train(self, x: np.ndarray, y: np.ndarray, passes: int = PASSES, batch: int = 64, rate: float = 0.02, seed: int = 9) -> float:
+    def train(self, x: np.ndarray, y: np.ndarray, passes: int = PASSES, batch: int = STEP, rate: float = 0.03, seed: int = 9) -> float:
         """Adam with a falling rate; returns the mean loss of the last pass."""
         rng = np.random.default_rng(seed)
         params = self.params()
@@ -181,44 +181,41 @@ class Runner:
         return (total + 1e-9) / (seen + 1e-9 * len(self.langs))[:, None]
 
 
-def training_windows(texts: list[bytes], each: int = WINDOWS_EACH) -> list[bytes]:
-    """Up to ``each`` windows spread evenly over every text."""
-    out = []
-    for t in texts:
-        starts = range(0, max(1, len(t) - WINDOW // 2), WINDOW)
-        for s in list(starts)[:: max(1, len(starts) // each)][:each]:
-            out.append(t[s : s + WINDOW].ljust(WINDOW, b"\0").translate(_LOWER))
-    return out
+def training_windows(text: bytes) -> np.ndarray:
+    """All windows of a text, as they are cut for inference."""
+    return np.frombuffer((text + b"\0" * (-len(text) % WINDOW)).translate(_LOWER), np.uint8).reshape(-1, WINDOW)
 
 
-def learn(docs: DataFrame, per_lang: int = SAMPLE, bytes_each: int = 1 << 12) -> Network | None:
-    """A network from the training rows of ``docs`` (crc32(doc_id) mod 5 not 0; lang and text not null); None without any.
+def sample(docs: DataFrame, per_lang: int = SAMPLE, languages: int = LANGUAGES) -> list[Row]:
+    """Rows (lang, text) that may teach (crc32(doc_id) mod 5 not 0; lang and text not null): at most ``per_lang`` whole texts of each language.
 
-    The sample: for each language the ``per_lang`` documents of smallest hashed id; of those texts, ``bytes_each`` bytes from a hashed start.
-    Only these bounded pieces, one group for each language, reach the driver.
+    Of each language and each of ``per_lang`` cells of a hash of id and text, the row of smallest hash; so reruns agree, also where ids repeat.
+    More than ``languages`` languages are refused with an error: a column with so many values holds no languages.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 5) != 0))
-    rows = rows.select("lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)).alias("_h"), "text")
-    # max_by over a few hashed cells keeps memory bounded in each task: one document for each (language, cell)
-    cells = rows.withColumn("_c", F.pmod("_h", F.lit(per_lang))).groupBy("lang", "_c").agg(F.min("_h").alias("_h"))
-    start = F.pmod(F.shiftright("_h", 8), F.greatest(F.lit(1).cast("long"), F.length("text") - bytes_each + 1).cast("long")).cast("int") + 1
-    picked = rows.join(F.broadcast(cells.select(F.col("lang").alias("_l"), F.col("_h").alias("_g"))), (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_g")))
-    found = picked.select("lang", "_h", F.substring("text", start, F.lit(bytes_each)).alias("text")).dropDuplicates(["lang", "_h"]).collect()
-    if not found:
-        return None
-    found.sort(key=lambda r: (r["lang"], r["_h"], r["text"]))
+    rows = rows.select("lang", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(3)).alias("_h"), "text")
+    cells = rows.groupBy("lang", F.pmod("_h", F.lit(per_lang)).alias("_c")).agg(F.min("_h").alias("_h")).select("lang", "_h").limit(languages * per_lang + 1).collect()
+    if len({r["lang"] for r in cells}) > languages or len(cells) > languages * per_lang:
+        raise ValueError(f"the column lang has more than {languages} values")
+    if not cells:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(r["lang"], r["_h"]) for r in cells], "_l string, _g long")  # bounded by both parameters
+    picked = rows.join(F.broadcast(wanted), (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_g")))
+    return picked.groupBy("lang", "_h").agg(F.min("text").alias("text")).collect()
+
+
+def learn(docs: DataFrame, per_lang: int = SAMPLE) -> Network | None:
+    """A network from ``sample``; None without any row. Languages weigh alike: those with fewer windows repeat theirs."""
+    found = sorted(sample(docs, per_lang), key=lambda r: (r["lang"], r["_h"]))
     langs = sorted({r["lang"] for r in found})
-    xs, ys = [], []
-    for r in found:
-        own = training_windows([r["text"].encode("utf-8", "replace")])
-        xs += own
-        ys += [langs.index(r["lang"])] * len(own)
-    x, y = np.frombuffer(b"".join(xs), np.uint8).reshape(-1, WINDOW), np.array(ys)
-    # languages weigh alike: those with fewer windows repeat theirs
-    most = np.bincount(y).max()
-    rows_ = np.concatenate([np.resize(np.flatnonzero(y == k), most) for k in range(len(langs))])
+    texts = [training_windows(r["text"].encode("utf-8", "replace")) for r in found]
+    if not sum(map(len, texts)):
+        return Network.new(langs) if langs else None
+    x, y = np.concatenate(texts), np.repeat([langs.index(r["lang"]) for r in found], list(map(len, texts)))
+    most = np.bincount(y, minlength=len(langs)).max()
+    rows = np.concatenate([np.resize(own, most) for k in range(len(langs)) if len(own := np.flatnonzero(y == k))])
     net = Network.new(langs)
-    net.train(x[rows_], y[rows_])
+    net.train(x[rows], y[rows])
     return net
 
 
@@ -234,9 +231,15 @@ def _predict(run: Runner | None, has_letter, texts: list[str | None]) -> tuple[l
 
 
 def with_language(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score``, one row per row of ``docs``; null or letterless texts: ``und`` and 0."""
+    """``keep``, ``lang_pred`` and ``score``, one row per row of ``docs``; null or letterless texts: ``und`` and 0.
+
+    Columns to keep must not have the names of the two made; names used on the way don't matter.
+    """
+    if clash := {c.lower() for c in keep} & {"lang_pred", "score"}:
+        raise ValueError(f"columns to keep have names of columns to make: {sorted(clash)}")
     small_batches(docs.sparkSession)
     run = net.ready() if net else None
+    own = [f"k{i}" for i in range(len(keep))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -244,11 +247,11 @@ def with_language(docs: DataFrame, net: Network | None, keep: list[str]) -> Data
         has_letter = regex.compile(r"\p{L}").search
         for batch in light(batches, "_text"):
             langs, scores = _predict(run, has_letter, batch.column("_text").to_pylist())
-            own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.select(own).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(work, ", ".join([*kinds, "lang_pred string, score double"]))
+    kinds = [f"{o} {docs.schema[c].dataType.simpleString()}" for o, c in zip(own, keep)]
+    kept = docs.select(*[F.col(c).alias(o) for o, c in zip(own, keep)], F.col("text").alias("_text"))
+    return kept.mapInArrow(work, ", ".join([*kinds, "lang_pred string, score double"])).select(*[F.col(o).alias(c) for o, c in zip(own, keep)], "lang_pred", "score")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

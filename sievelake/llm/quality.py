@@ -159,7 +159,9 @@ def fit(rows: DataFrame) -> Discriminant:
 
 
 def with_scores(rows: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
-    """``keep`` and ``score`` from rows with ``_x``."""
+    """``keep`` and ``score`` from rows with ``_x``; a column to keep must not be called score."""
+    if "score" in {c.lower() for c in keep}:
+        raise ValueError("a column to keep has the name of the column to make: score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
