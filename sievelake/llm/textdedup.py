@@ -1,14 +1,17 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
-A shingle is a run of five words (all words of a shorter text); its weight is its count in the document times the mean inverse
-document frequency of its words. Word frequencies are counted over all documents in SLOTS hashed slots: a table of fixed size.
-(The frequency of a shingle itself would sink with the size of its own group of copies and pull true copies under the bound.)
-
-1. Texts with equal word sequences are one class; a class is counted and hashed once.
+A shingle is a run of five words (all words of a shorter text); its weight is its count in the document (tf) times its inverse
+document frequency, log((1 + s) n / (df + s n)) + 1 with the smoothing share s = SMOOTH. With the usual smoothing of one document, a group
+of near copies would push itself apart: what its members share is frequent by their own number, what edits changed is not. With
+a share of the corpus, only shingles in percents of all documents (license lines, headers) weigh less. That is also why a
+table of fixed size, SLOTS hashed slots, is exact enough at any size of the corpus: what falls into a slot by chance
+is far below s n. Copies of one word sequence that hold more than HEAVY of the corpus count once.
+
+1. One pass over all texts: a 128-bit hash of each word sequence, and the document frequencies. Equal word sequences are one class.
 2. HASHES consistent weighted samples, in BANDS of ROWS; classes that share a band meet in its bucket. Inside a bucket only pairs
    whose samples agree often enough (ESTIMATE) are candidates; what leaves it is a spanning forest, never pairs.
 3. Candidate components are the units of exact work: the texts of one component come together (cut into parts and pairs of
-   parts where there are many), and the weighted Jaccard similarity of all pairs in them is computed exactly. Again
+   parts where there are many or long ones), and the weighted Jaccard similarity of all pairs in them is computed exactly. Again
    only spanning links leave. Their components are the groups of near-duplicates.
 """
 
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import light, small_batches, written
+from .common import discard, light, small_batches, written
 from .graph import components
 
 SIMILARITY, WORDS = 0.8, 5
@@ -30,9 +33,11 @@ BANDS, ROWS = 14, 3
 HASHES = BANDS * ROWS
 #: Samples of HASHES that must agree: at similarity 0.8 fewer do with probability 7e-4; pairs near 0.5 rarely get so far.
 ESTIMATE = 25
-SLOTS = 1 << 20
-#: Classes in a part of a bucket, classes in a part of a component, classes in one batch of either.
-BUCKET_PART, PART, BATCH = 2048, 1024, 16_384
+#: Slots of the table of document frequencies, share of the corpus that smooths them, share from which copies count once.
+SLOTS, SMOOTH, HEAVY = 1 << 20, 0.1, 1e-4
+_SLOT = np.uint64(44)
+#: Classes in a part of a bucket, classes and text bytes in a part of a component, classes in one group of small buckets.
+BUCKET_PART, PART, PART_BYTES, BATCH = 2048, 1024, 8 << 20, 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a task's word cache; when full it is emptied.
 CACHE = 100_000
@@ -58,28 +63,27 @@ class Shingler:
             out.append(h)
         return np.array(out, np.uint64)
 
-    def shingles(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different shingles (sorted), their counts, and the mean idf of their words."""
+    def hashes(self, words: np.ndarray) -> np.ndarray:
+        """The shingles in order, with repeats."""
         n = len(words)
         k = min(WORDS, n)
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-        h = np.full(n - k + 1, np.uint64(k))
-        w = np.zeros(n - k + 1)
-        idf = self.idf[(words >> np.uint64(44)).astype(np.int64)]
+        h = np.full(n - k + 1 if n else 0, np.uint64(k))
         for i in range(k):
             h = (h ^ (h >> np.uint64(31))) * _MIX + words[i : n - k + 1 + i]
-            w += idf[i : n - k + 1 + i]
         h = (h ^ (h >> np.uint64(32))) * _MIX
-        ids, first, counts = np.unique(h, return_index=True, return_counts=True)
-        return ids, counts, w[first] / k
+        return h ^ (h >> np.uint64(29))
+
+    def shingles(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different shingles (sorted), their counts and their idf."""
+        ids, counts = np.unique(self.hashes(words), return_counts=True)
+        return ids, counts, self.idf[(ids >> _SLOT).astype(np.intp)].astype(np.float64)
 
 
 class Sampler:
     """Improved consistent weighted sampling: for each hash, the shingle (and level) of least value.
 
-    r and c are gamma(2, 1) and beta uniform, drawn from tables by 16 bits of the shingle's hash times the hash function's odd
-    multiplier; equal values go to the smaller shingle.
+    r and c are gamma(2, 1) and beta uniform. They are drawn by three different fields of the shingle's 64-bit hash times the hash
+    function's odd multiplier, so that shingles of a set of any size hardly ever share all three; equal values go to the smaller shingle.
     """
 
     def __init__(self, seed: int = 41):
@@ -89,59 +93,115 @@ class Sampler:
         self.b = rng.random(1 << 16, np.float32)
         self.odd = rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def samples(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """HASHES 64-bit samples of one weighted set."""
-        at = ((ids[None] * self.odd[:, None]) >> np.uint64(48)).astype(np.intp)
-        r, b = self.r[at], self.b[at]
-        t = np.floor(np.log(weights).astype(np.float32)[None] / r + b)
-        value = self.c[at] - r * (t - b) - r
-        best = value.argmin(1)
-        level = t[np.arange(HASHES), best].astype(np.int64).view(np.uint64)
-        out = (ids[best] ^ (level * np.uint64(0xC2B2AE3D27D4EB4F))) * _MIX
+    def samples(self, ids: np.ndarray, weights: np.ndarray, width: int = 1 << 15) -> np.ndarray:
+        """HASHES 64-bit samples of one weighted set, ``width`` shingles at a time."""
+        low, out = np.full(HASHES, np.inf, np.float32), np.zeros(HASHES, np.uint64)
+        log, each = np.log(weights).astype(np.float32), np.arange(HASHES)
+        for at in range(0, len(ids), width):
+            own = ids[at : at + width]
+            mixed = own[None] * self.odd[:, None]
+            mixed ^= mixed >> np.uint64(32)
+            fields = mixed.view(np.uint16).reshape(HASHES, len(own), 4)
+            r, b, c = self.r[fields[..., 0]], self.b[fields[..., 1]], self.c[fields[..., 2]]
+            t = np.floor(log[None, at : at + width] / r + b)
+            value = c - r * (t - b) - r
+            best = value.argmin(1)
+            found = value[each, best]
+            level = t[each, best].astype(np.int64).view(np.uint64)
+            new = found < low
+            out[new], low[new] = ((own[best] ^ (level * np.uint64(0xC2B2AE3D27D4EB4F))) * _MIX)[new], found[new]
         return out ^ (out >> np.uint64(29))
 
 
-def word_slots(docs: DataFrame) -> np.ndarray:
-    """idf of each slot, log((n + 1) / (df + 1)) + 1, over all documents: at most SLOTS rows reach the driver."""
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+
+
+def _counts(found: np.ndarray) -> list[pa.Array]:
+    at = np.flatnonzero(found)
+    return [pa.array(at, pa.int32()), pa.array(found[at])]
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(words: np.ndarray) -> tuple[int | None, int | None]:
+    """128-bit hash of a word sequence in two halves; null without words."""
+    import xxhash
+
+    if not len(words):
+        return None, None
+    d = xxhash.xxh3_128_digest(words.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def first_pass(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs`` (x, text) x, hi and lo (its ``_digest``), and besides rows (slot, n): in how many documents a slot has shingles."""
+    names = ["x", "hi", "lo", "slot", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, found = Shingler(), np.zeros(SLOTS, np.int64)
         for batch in light(batches, "text"):
-            for t in batch.column("text").cast(pa.large_binary()).to_pylist():
-                found[np.unique((shingler.words(t or b"") >> np.uint64(44)).astype(np.int64))] += 1
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at])], ["slot", "n"])
+            keys = []
+            for t in _texts(batch):
+                words = shingler.words(t)
+                keys.append(_digest(words))
+                found[np.unique(shingler.hashes(words) >> _SLOT).astype(np.intp)] += 1
+            none = pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("x"), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], *none], names)
+        slot, n = _counts(found)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(slot), pa.int64())] * 3, slot, n], names)
+
+    return docs.select("x", "text").mapInArrow(run, "x long, hi long, lo long, slot int, n long")
 
-    got = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+
+def shingle_idf(docs: DataFrame, seen: DataFrame) -> np.ndarray:
+    """idf of each slot from the rows of ``first_pass``; at most SLOTS rows reach the driver.
+
+    Of a word sequence that more than HEAVY of all documents are, all but one are taken off again: there are at most
+    1 / HEAVY of these, so their hashes may be broadcast, and one text of each is read.
+    """
+    n = seen.where("hi is not null").count()
+    got = seen.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(SLOTS)
     df[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return (np.log((docs.count() + 1) / (df + 1)) + 1).astype(np.float32)
+    same = seen.where("hi is not null").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("_x"))
+    heavy = written(same.where((F.col("c") > 1) & (F.col("c") > HEAVY * n)).select("_x", (F.col("c") - 1).alias("more")), "heavy")
+    texts = docs.join(F.broadcast(heavy), F.col("x") == F.col("_x")).groupBy("x").agg(F.min("text").alias("text"), F.min("more").alias("more"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, found = Shingler(), np.zeros(SLOTS, np.int64)
+        for batch in light(batches, "text"):
+            for t, more in zip(_texts(batch), batch.column("more").to_pylist()):
+                found[np.unique(shingler.hashes(shingler.words(t)) >> _SLOT).astype(np.intp)] += more
+        yield pa.RecordBatch.from_arrays(_counts(found), ["slot", "n"])
+
+    off = texts.select("text", "more").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    df[off.column("slot").to_numpy()] -= off.column("n").to_numpy()
+    n -= heavy.agg(F.sum("more")).first()[0] or 0
+    discard(heavy)
+    return (np.log((1 + SMOOTH) * max(n, 1) / (df + SMOOTH * max(n, 1))) + 1).astype(np.float32)
 
 
 def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, hi and lo (128-bit hash of the word sequence, null without words), samples: one row per row of ``docs``."""
+    """doc_id, x, hi, lo and samples, one row per row of ``docs``; samples are null where the task has made those of the same words before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        shingler, sampler = Shingler(idf.value), Sampler()
+        shingler, sampler, made = Shingler(idf.value), Sampler(), set()
         for batch in light(batches, "text"):
-            hi, lo, samples = [], [], []
-            for t in batch.column("text").cast(pa.large_binary()).to_pylist():
-                words = shingler.words(t or b"")
-                if not len(words):
-                    hi.append(None), lo.append(None), samples.append(None)
+            keys, samples = [], []
+            for t in _texts(batch):
+                words = shingler.words(t)
+                keys.append(key := _digest(words))
+                if key in made or not len(words):
+                    samples.append(None)
                     continue
-                d = xxhash.xxh3_128_digest(words.tobytes())
-                hi.append(int.from_bytes(d[:8], "big", signed=True))
-                lo.append(int.from_bytes(d[8:], "big", signed=True))
+                if len(made) > CACHE:
+                    made.clear()
+                made.add(key)
                 ids, counts, weight = shingler.shingles(words)
                 samples.append(sampler.samples(ids, counts * weight).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(samples, pa.binary())], ["doc_id", "hi", "lo", "samples"]
-            )
+            halves = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("x"), *halves, pa.array(samples, pa.binary())], ["doc_id", "x", "hi", "lo", "samples"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, samples binary")
+    return docs.select("doc_id", "x", "text").mapInArrow(run, "doc_id long, x long, hi long, lo long, samples binary")
 
 
 def _roots(n: int, u: np.ndarray, v: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -200,11 +260,15 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     keys = written(classes.select("node", "samples").mapInArrow(band, "node long, key long"), "bands")
     crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("_k"), F.expr(f"cast((c + {BUCKET_PART - 1}) div {BUCKET_PART} as int)").alias("parts"))
     met = written(keys.join(crowd, F.col("key") == F.col("_k")).select("node", "key", "parts"), "buckets")
-    batches = max(1, -(-met.count() // BATCH))
+    discard(keys)
+    batches = max(1, -(-met.where("parts = 1").count() // BATCH))
     pieces = met.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, parts - 1)")))
-    pieces = pieces.select("node", "key", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+    # a pair of parts of a crowded bucket is a group of its own, small buckets share groups
+    i, j = F.least("p", "o"), F.greatest("p", "o")
+    shard = F.when(F.col("parts") > 1, F.xxhash64("key", i, j)).otherwise(F.pmod(F.xxhash64("key"), F.lit(batches)))
+    pieces = pieces.select("node", "key", "p", i.alias("i"), j.alias("j"), shard.alias("shard"))
     own = classes.select(F.col("node").alias("_n"), "samples")
-    work = pieces.join(own, F.col("node") == F.col("_n")).drop("_n").withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(batches)))
+    work = pieces.join(own, F.col("node") == F.col("_n")).drop("_n")
 
     def check(group: pa.Table) -> pa.Table:
         node, key, p, i, j = (group.column(c).to_numpy() for c in ("node", "key", "p", "i", "j"))
@@ -229,8 +293,11 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 
 def exact_links(texts: DataFrame, idf, least: float) -> DataFrame:
     """Links (a, b) that span the groups of similarity ``least`` in texts (node, text, component)."""
-    sizes = texts.groupBy("component").agg(F.count(F.lit(1)).alias("c")).select(F.col("component").alias("_c"), F.expr(f"cast((c + {PART - 1}) div {PART} as int)").alias("parts"))
-    batches = max(1, -(-texts.count() // PART))
+    size = F.octet_length("text").cast("long")
+    sizes = texts.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum(size).alias("b"))
+    sizes = sizes.select(F.col("component").alias("_c"), F.greatest(F.expr(f"cast((c + {PART - 1}) div {PART} as int)"), F.expr(f"cast((b + {PART_BYTES - 1}) div {PART_BYTES} as int)")).alias("parts"))
+    total = texts.agg(F.count(F.lit(1)).alias("c"), F.sum(size).alias("b")).first()
+    batches = max(1, -(-total["c"] // PART), -(-(total["b"] or 0) // PART_BYTES))
     met = texts.join(sizes, F.col("component") == F.col("_c")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, parts - 1)")))
     # a small component shares its batch with others, a pair of parts of a large one is a batch of its own
     i, j = F.least("p", "o"), F.greatest("p", "o")
@@ -290,23 +357,30 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     class_id: the smallest id among documents linked, directly or by others, with weighted Jaccard similarity of ``least`` or
     more; copy_id: the smallest id among documents of the same words in the same order (case of A-Z and white space aside);
     kept: doc_id = class_id. Null texts and texts without words link with nothing; rows without an id are kept, with
-    null class and copy. Rows that repeat an id are one document. Other columns are ignored.
+    null class and copy. Rows that repeat an id are judged each by its own text. Other columns are ignored; an empty table
+    gives an empty result.
     """
-    return _near_duplicates(docs, least).select("doc_id", "class_id", "copy_id", "kept")
-
-
-def _near_duplicates(docs: DataFrame, least: float) -> DataFrame:
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    idf = docs.sparkSession.sparkContext.broadcast(word_slots(rows))  # SLOTS floats: 4 MB at every size of the input
+    # x tells the texts of a repeated id apart
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
+    seen = written(first_pass(rows), "first-pass")
+    idf = docs.sparkSession.sparkContext.broadcast(shingle_idf(rows, seen))  # SLOTS floats: 4 MB at every size of the input
+    discard(seen)
     signed = written(_signatures(rows, idf), "signatures")
     with_words = signed.where("hi is not null and doc_id is not null")
-    classes = written(with_words.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples")), "classes")
-    hopeful = components(written(candidate_links(classes), "candidates"))
-    of = hopeful.select(F.col("node").alias("_n"), "component")
-    texts = written(rows.join(of, F.col("doc_id") == F.col("_n")).groupBy(F.col("doc_id").alias("node"), "component").agg(F.min("text").alias("text")), "candidate-texts")
-    groups = components(written(exact_links(texts, idf, least), "near")).select(F.col("node").alias("_g"), F.col("component").alias("group"))
-    whole = classes.join(groups, F.col("node") == F.col("_g"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("node").alias("copy_id"), F.coalesce("group", "node").alias("class_id"))
+    # a class goes by a number of its own, and by the id and text of its first row
+    same = signed.where("hi is not null").groupBy("hi", "lo").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "x"))).alias("first"), F.first("samples", True).alias("samples"))
+    classes = written(same.where("first is not null").select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "first.doc_id", "first.x", "samples"), "classes")
+    hopeful = components(links := written(candidate_links(classes), "candidates"))
+    discard(links)
+    wanted = hopeful.join(classes, "node").select("node", "component", F.col("doc_id").alias("_d"), F.col("x").alias("_x"))
+    of_class = (F.col("doc_id") == F.col("_d")) & (F.col("x") == F.col("_x"))
+    texts = written(rows.join(wanted, of_class).groupBy("node", "component").agg(F.min("text").alias("text")), "candidate-texts")
+    groups = components(links := written(exact_links(texts, idf, least), "near"))
+    discard(links, texts, hopeful)
+    low = groups.join(classes, "node").groupBy("component").agg(F.min("doc_id").alias("low"))
+    group = groups.join(low, "component").select(F.col("node").alias("_g"), "low")
+    whole = classes.join(group, F.col("node") == F.col("_g"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("doc_id").alias("copy_id"), F.coalesce("low", "doc_id").alias("class_id"))
     linked = with_words.join(whole, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).select("doc_id", "class_id", "copy_id")
     alone = signed.where("hi is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
