@@ -82,13 +82,33 @@ def compile_pattern(c: Column, pattern: Pattern) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def normal_form(pattern: Column, escape: str | None = "\\", on_trailing_escape: str = "error") -> Column:
+    """A column of patterns in the form that Spark accepts: only ``%``, ``_`` and backslash are escaped, by a backslash.
+
+    The same rules as for patterns given as text: ``escape`` makes any character literal, and a lone one at the end is an error or literal.
+    """
+    if escape is not None and len(escape) != 1:
+        raise ValueError("escape must be one character or None")
+    pairs = f"\\Q{escape}\\E.|." if escape is not None else "."
+    literal = lambda x: F.when(x.isin("%", "_", "\\"), F.concat(F.lit("\\"), x)).otherwise(x)
+
+    def token(t: Column) -> Column:
+        plain = F.when(t == "\\", F.lit("\\\\")).otherwise(t)
+        if escape is None:
+            return plain
+        lone = literal(t) if on_trailing_escape == "literal" else F.raise_error(F.lit("a pattern ends in its escape character")).cast("string")
+        return F.when(F.length(t) == 2, literal(F.substring(t, 2, 1))).when(t == escape, lone).otherwise(plain)
+
+    return F.array_join(F.transform(F.regexp_extract_all(pattern, F.lit("(?s)" + pairs), F.lit(0)), token), "")
+
+
 def like(c: Column | str, pattern: str | Column | None, escape: str | None = "\\", on_trailing_escape: str = "error") -> Column:
-    """``c LIKE pattern``. A Column pattern (its escapes in Spark's form) is matched row by row; a null pattern gives null."""
+    """``c LIKE pattern``. A Column pattern is brought into its normal form and matched row by row; a null pattern gives null."""
     c = _column(c)
     if pattern is None:
         return F.lit(None).cast("boolean")
     if isinstance(pattern, Column):
-        return F.like(c, pattern, F.lit(escape or "\\"))
+        return F.like(c, normal_form(pattern, escape, on_trailing_escape), F.lit("\\"))
     return compile_pattern(c, Pattern.parse(pattern, escape, on_trailing_escape))
 
 
@@ -98,7 +118,7 @@ def ilike(c: Column | str, pattern: str | Column | None, escape: str | None = "\
     if pattern is None:
         return F.lit(None).cast("boolean")
     if isinstance(pattern, Column):
-        return F.like(c, F.lower(pattern), F.lit(escape or "\\"))
+        return F.like(c, F.lower(normal_form(pattern, escape, on_trailing_escape)), F.lit("\\"))
     return compile_pattern(c, Pattern.parse(pattern, escape, on_trailing_escape).lowered())
 
 

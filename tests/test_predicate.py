@@ -103,3 +103,20 @@ def test_keys_must_be_text(spark):
     with pytest.raises(TypeError):
         text_key(df, "id")
     text_key(df, F.col("id").cast("string"))
+
+
+def test_patterns_in_a_column(spark):
+    """The same answers as for patterns given as text, whatever they escape."""
+    values = ["a", "ab", "a%b", "a_b", "a\\b", "\\", "%", "é", "A%B", "", None]
+    patterns = ["a", "a%", "\\a%", "a\\%b", "a\\_b", "a\\\\b", "%\\b", "\\\\", "\\é", "_", "", "A\\%b"]
+    df = spark.createDataFrame([(v, p) for v in values for p in [*patterns, None]], "v string, p string")
+    got = df.select("v", "p", like("v", F.col("p")).alias("l"), ilike("v", F.col("p")).alias("i"), not_like("v", F.col("p")).alias("n")).collect()
+    for r in got:
+        assert (r["l"], r["i"], r["n"]) == (matches(r["v"], r["p"]), matches(r["v"], r["p"], True), matches(r["v"], r["p"], False, True)), r
+    own = spark.createDataFrame([("50%", "50!%"), ("a\\", "!a\\"), ("a!", "a!!"), ("a", "!a!")], "v string, p string")
+    assert [r[0] for r in own.where("p <> '!a!'").select(like("v", F.col("p"), escape="!")).collect()] == [True] * 3
+    assert own.select(like(F.concat("v", F.lit("!")), F.col("p"), escape="!", on_trailing_escape="literal").alias("x")).where("x").count() == 1
+    with pytest.raises(Exception):
+        own.select(like("v", F.col("p"), escape="!")).collect()
+    assert df.where(like("v", F.lit("a\\"), escape=None)).count() == 0
+    assert spark.createDataFrame([("a\\",)], "v string").where(like("v", F.lit("_\\"), escape=None)).count() == 1
