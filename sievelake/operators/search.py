@@ -43,18 +43,19 @@ def count_filters(df: DataFrame, named: dict[str, Predicate | Column]) -> DataFr
     return df.agg(*[F.count_if(p.condition() if isinstance(p, Predicate) else p).alias(name) for name, p in named.items()])
 
 
-def pattern_join(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern", small: int | None = None, block: int = 100_000) -> DataFrame:
+def pattern_join(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern", small: int | None = None, block: int = 100_000, block_bytes: int = 16 << 20) -> DataFrame:
     """Rows of ``df`` with every row of a table of patterns that they match.
 
     LIKE has no key to join on, so each row meets each pattern: one pass over ``df`` with the patterns broadcast. More than ``block``
-    patterns are cut into blocks of about that many, and each part of ``df`` meets each block in a task of its own; nothing is
+    patterns, or more than ``block_bytes`` of them, are cut into blocks of about that many, and each part of ``df`` meets each block in a task of its own; nothing is
     broadcast then. With ``small``, larger tables of patterns are refused.
     """
-    n = patterns.count()
+    size = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(pattern)).alias("b")).first()
+    n, blocks = size["n"], max(-(-size["n"] // block), -(-(size["b"] or 0) // block_bytes))
     if small is not None and n > small:
         raise ValueError(f"{n} patterns; more than {small}")
-    if n <= block:
+    if blocks <= 1:
         met = F.broadcast(patterns)
     else:
-        met = patterns.repartition(-(-n // block)).hint("shuffle_replicate_nl")
+        met = patterns.repartition(blocks).hint("shuffle_replicate_nl")
     return df.join(met, like(df[column], patterns[pattern]))
