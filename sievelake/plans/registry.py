@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +12,11 @@ from sievelake.operators import bitmaps, search
 from sievelake.plans.planner import Predicate as P
 from sievelake.plans.planner import where
 from sievelake.sources import catalog
-from sievelake.sources.files import with_lowered
-from sievelake.sources.index import PatternIndex
+from sievelake.functions import sql
+from sievelake.sources.files import fresh_folder, with_lowered
+from sievelake.sources.index import CLEANUP, PatternIndex, _stamp
 from sievelake.sources.partitioned import PartitionedIndex
+from sievelake.streaming import filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -71,7 +71,7 @@ _like("json_text", '{"k": 6_}', "events", "event_id, props", "props")
 _like("url", "http%://%/fr/%", "pages", "page_id, url", "url")
 _like("phone_digits", "Customer#%0_1", "customer", "c_custkey, c_name", "c_name")
 _simple("like_escape_other", "customer", "c_custkey, c_name", lambda: like("c_name", "Customer\\#%1"), "c_name LIKE 'Customer#%1'")
-_simple("like_escape_clause", "customer", "c_custkey, c_name", lambda: like("c_name", "Customer!#%1", escape="!"), "c_name LIKE 'Customer#%1'")
+_simple("like_escape_clause", "customer", "c_custkey, c_name", lambda: like("c_name", "Customer!#%1", escape="!"), "c_name LIKE 'Customer!#%1' ESCAPE '!'")
 _simple("like_escape_und", "part", "p_partkey", lambda: like(F.replace("p_name", F.lit(" "), F.lit("_")), r"%\_r%"), rf"replace(p_name, ' ', '_') LIKE '%\_r%'{_ESC}")
 _simple("like_escape_bs", "part", "p_partkey", lambda: like(F.replace("p_name", F.lit(" "), F.lit("\\")), r"%\\r%"), rf"replace(p_name, ' ', '\') LIKE '%\\r%'{_ESC}")
 _simple("like_null_pattern", "part", _PART, lambda: like("p_name", None), "p_name LIKE NULL")
@@ -199,17 +199,15 @@ def except_like(spark, sf_dir):
 
 
 def _fresh(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="sievelake-")
-    return f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "index")
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple, str] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> PatternIndex:
-    """The index on part that all read-only queries of a session share."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index on part that all read-only queries of a session share, as long as the table is the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, f"{sf_dir}/part.parquet"))
     if key not in _BUILT:
         part = _table(spark, sf_dir, "part")
         _BUILT[key] = PatternIndex.build(part, _fresh(spark), {"p_name": "p_name", "p_brand": "p_brand", "nulled": _NULLED}, "part_names").path
@@ -262,11 +260,12 @@ def bitmap_andnot_rows(spark, sf_dir):
     return index.rows().join(bitmaps.to_ids(left), "rid", "left_semi").select("p_partkey")
 
 
-_NEW = "SELECT p_partkey + 1000000 AS p_partkey, 'zz ' || p_name AS p_name, p_size FROM part WHERE p_partkey <= 20"
+_NEW = "SELECT p_partkey + 100000000 AS p_partkey, 'zz ' || p_name AS p_name, p_size FROM part"
 
 
 def _additions(part: DataFrame) -> DataFrame:
-    return part.where("p_partkey <= 20").select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), F.concat(F.lit("zz "), F.col("p_name")).alias("p_name"), "p_size")
+    """A batch as large as the table."""
+    return part.select((F.col("p_partkey") + 100_000_000).alias("p_partkey"), F.concat(F.lit("zz "), F.col("p_name")).alias("p_name"), "p_size")
 
 
 @query(f"SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, p_size FROM part UNION ALL {_NEW}) WHERE p_name LIKE 'zz%' OR p_name LIKE '%ring'")
@@ -310,15 +309,77 @@ def maint_rebuild(spark, sf_dir):
     return index.search([P("upper", "LIKE", "%RING")]).select("p_partkey")
 
 
-@query("SELECT (SELECT count(*) FROM part WHERE p_partkey % 5 <> 0) + 20 AS active, (SELECT count(*) FROM part) + 20 AS slots, 0::BIGINT AS free, (SELECT count(*) FROM part WHERE p_partkey % 5 = 0) AS tombstones, 20::BIGINT AS inserts, (SELECT count(*) FROM part WHERE p_partkey % 5 = 0) AS deletes, 0::BIGINT AS updates, (SELECT max(length(p_name)) FROM part) + 3 AS max_len")
+@query(
+    f"""WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 5 = 0) AS gone, max(length(p_name)) AS longest FROM part)
+    SELECT 2 * n - gone AS active, 2 * n AS slots, CASE WHEN gone >= {CLEANUP} THEN gone ELSE 0 END AS free, CASE WHEN gone >= {CLEANUP} THEN 0 ELSE gone END AS tombstones,
+    n AS inserts, gone AS deletes, 0::BIGINT AS updates, longest + 3 AS max_len FROM c"""
+)
 def index_stats(spark, sf_dir):
-    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    index = PatternIndex.build(part, _fresh(spark), ["p_name"])
-    longest = part.where("p_name is not null").orderBy(F.desc(F.length("p_name"))).limit(1)
-    index.append(part.where("p_partkey <= 18").unionByName(longest).select("p_partkey", F.concat(F.lit("zz "), F.col("p_name")).alias("p_name"), "p_size").withColumn("p_partkey", F.lit(1).cast("long")))
-    # the SQL counts the marks, so they are counted before the cleanup, which would turn CLEANUP of them or more into free slots
-    index.delete((F.col("p_partkey") % 5 == 0) & ~F.col("p_name").startswith("zz "), cleanup=False)
-    return index.stats().select("active", "slots", (F.col("free")).alias("free"), "tombstones", "inserts", "deletes", "updates", F.col("max_len").cast("long").alias("max_len"))
+    """Deletions below the bound of the cleanup stay marked, others free their slots."""
+    index, part = _own(spark, sf_dir), _table(spark, sf_dir, "part")
+    index.append(_additions(part))
+    index.delete((F.col("p_partkey") % 5 == 0) & (F.col("p_partkey") < 100_000_000))
+    return index.stats().select("active", "slots", "free", "tombstones", "inserts", "deletes", "updates", F.col("max_len").cast("long").alias("max_len"))
+
+
+@query(f"SELECT p_partkey FROM part WHERE p_name LIKE '%ring' AND p_partkey % 2 = 1 UNION ALL SELECT p_partkey FROM ({_NEW}) WHERE p_name LIKE '%ring'")
+def maint_cleanup(spark, sf_dir):
+    """Two deletions with an append between them; the cleanup comes where the bound is passed."""
+    index, part = _own(spark, sf_dir), _table(spark, sf_dir, "part")
+    index.delete(F.col("p_partkey") % 4 == 0)
+    index.append(_additions(part))
+    index.delete((F.col("p_partkey") % 4 == 2) & (F.col("p_partkey") < 100_000_000))
+    return index.search([P("p_name", "LIKE", "%ring")]).select("p_partkey")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_name LIKE '%ring'")
+def index_partial(spark, sf_dir):
+    """An index over the filtered rows only."""
+    part = _table(spark, sf_dir, "part").where("p_size > 10")
+    return PatternIndex.build(part, _fresh(spark), ["p_name"]).search([P("p_name", "LIKE", "%ring")]).select("p_partkey", "p_size")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_name LIKE '%1' AND c_mktsegment = 'BUILDING'")
+def index_text_partitions(spark, sf_dir):
+    index = PartitionedIndex.build(_table(spark, sf_dir, "customer"), _fresh(spark), ["c_name"], "c_mktsegment")
+    return index.search([P("c_name", "LIKE", "%1")], ["BUILDING"]).select("c_custkey")
+
+
+@query("SELECT least(count(*), 10) AS n FROM part WHERE p_name LIKE '%r%'")
+def limit_like(spark, sf_dir):
+    """A bare LIMIT: which rows come is open, how many is not."""
+    return search.search(_table(spark, sf_dir, "part"), [P("p_name", "LIKE", "%r%")], limit=10).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_name LIKE '%' || substring(p_name, 2, 1) || '_' || '%'")
+def column_pattern_escape(spark, sf_dir):
+    """Patterns in a column, with escapes of plain characters."""
+    pattern = F.concat(F.lit("%\\"), F.substring("p_name", 2, 1), F.lit("_%"))
+    return _table(spark, sf_dir, "part").where(like("p_name", pattern)).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_name LIKE '%ring'")
+def like_trailing_escape(spark, sf_dir):
+    """A lone escape at the end, as a literal: in a text and in a column."""
+    part = _table(spark, sf_dir, "part").withColumn("s", F.concat("p_name", F.lit("\\")))
+    return part.where(like("s", "%ring\\", on_trailing_escape="literal") & like("s", F.lit("%ring\\"), on_trailing_escape="literal")).select("p_partkey")
+
+
+@query("SELECT p_partkey, p_name LIKE '%r_n%' AS l, p_name NOT ILIKE 'S%' AS n, p_name LIKE '%' || substring(p_name, 1, 2) AS c FROM part")
+def sql_predicates(spark, sf_dir):
+    sql.register(spark)
+    _table(spark, sf_dir, "part").createOrReplaceTempView("sieve_part")
+    return spark.sql("SELECT p_partkey, sieve_like(p_name, '%r_n%') AS l, sieve_not_ilike(p_name, 'S%') AS n, sieve_like(p_name, concat('%', substring(p_name, 1, 2))) AS c FROM sieve_part")
+
+
+@query("SELECT props, ts FROM events WHERE props LIKE '%6%' AND event_type ILIKE 'C%'")
+def stream_like(spark, sf_dir):
+    """Predicates on a stream that is read to its end."""
+    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parq*")
+    out = _fresh(spark)
+    found = filters.matching(events, [P("props", "LIKE", "%6%"), P("event_type", "ILIKE", "C%")]).select("props", "ts")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{out}/rows")
 
 
 @query("SELECT n_name, n_regionkey FROM nation WHERE n_name LIKE '%A%' AND n_regionkey IN (1, 2)")
@@ -339,7 +400,7 @@ query(
 )(lambda spark, sf_dir: catalog.build_info(spark))
 
 
-@query(f"SELECT '{catalog.VERSION}' AS version, true AS bitmaps_enabled, 'Optimal (built-in bitmaps)' AS bitmap_implementation, 1::BIGINT AS total_indexes")
+@query(f"SELECT '{catalog.VERSION}' AS version, true AS bitmaps_enabled, 'bitmap aggregates of Spark' AS bitmap_implementation, 1::BIGINT AS total_indexes")
 def cat_status(spark, sf_dir):
     root = _fresh(spark)
     PatternIndex.build(_table(spark, sf_dir, "region"), f"{root}/region_names", ["r_name"])
@@ -355,6 +416,42 @@ def cat_indexes(spark, sf_dir):
     return catalog.Catalog(spark, root).indexes().select("index_name", "num_columns", "columns")
 
 
+_SIZES = (0, 1023, 1536, 5 << 20, 3 << 30, 12345678901)
+_PRETTY = ", ".join(f"({n}, '{catalog.size_pretty(n)}')" for n in _SIZES)
+
+
+@query(f"SELECT * FROM (VALUES {_PRETTY}) t(n, pretty)")
+def cat_size_pretty(spark, sf_dir):
+    sql.register(spark)
+    return spark.createDataFrame([(n,) for n in _SIZES], "n long").selectExpr("n", "sieve_size_pretty(n) AS pretty")
+
+
+@query("SELECT 'indexes' AS check_name, '1' AS status UNION ALL SELECT 'segments of an index, at most', '2' UNION ALL SELECT 'deleted rows still stored', '1' UNION ALL SELECT 'bitmap aggregates', 'present'")
+def cat_check_config(spark, sf_dir):
+    root, region = _fresh(spark), _table(spark, sf_dir, "region")
+    index = PatternIndex.build(region, f"{root}/region_names", ["r_name"])
+    index.append(region)
+    index.delete((F.col("r_regionkey") == 0) & (F.col("rid") == 1))
+    return catalog.Catalog(spark, root).check_config().where("check_name <> 'shared folder'").select("check_name", "status")
+
+
+@query("SELECT 'region_names' AS index_name, 1 AS num_columns, 'PATTERN INDEX region_names (upper(r_name) AS u)' AS index_definition, true AS stored")
+def cat_indexes_detailed(spark, sf_dir):
+    root = _fresh(spark)
+    PatternIndex.build(_table(spark, sf_dir, "region"), f"{root}/region_names", {"u": "upper(r_name)"})
+    found = catalog.Catalog(spark, root)
+    found.register_views()
+    sizes = spark.table("sieve_memory_usage").select(F.col("index_name").alias("_i"), (F.col("bytes") > 0).alias("stored"))
+    detailed = spark.table("sieve_indexes_detailed").select("index_name", "num_columns", "index_definition")
+    return detailed.join(sizes, F.col("index_name") == F.col("_i")).drop("_i")
+
+
+@query(f"SELECT '{catalog.VERSION}' AS version, true AS bitmaps_enabled")
+def cat_build_info_json(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT from_json(sieve_build_info_json(), 'version STRING, bitmaps_enabled BOOLEAN') AS j").select("j.*")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

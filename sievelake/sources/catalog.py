@@ -15,6 +15,8 @@ from .index import PatternIndex, _list, _size
 VERSION = "0.1.0"
 #: Releases of this library.
 HISTORY = (("0.1.0", "Pattern predicates, planner, stored postings index, catalog, streaming filters and training-data operators"),)
+#: Segments of one index beyond which compaction is advised.
+MANY_SEGMENTS = 16
 #: Operator signs by strategy number.
 SIGNS = {1: "~~", 2: "!~~", 3: "~~*", 4: "!~~*"}
 
@@ -106,15 +108,27 @@ class Catalog:
     def status(self) -> DataFrame:
         """version, bitmaps_enabled, bitmap_implementation, total_indexes, total_index_size (0 bytes without any)."""
         found, bitmaps = self._all(), has_bitmap_functions(self.spark)
-        row = (VERSION, bitmaps, "Optimal (built-in bitmaps)" if bitmaps else "Fallback (joins)", len(found), size_pretty(sum(i.size_bytes() for i in found)))
+        row = (VERSION, bitmaps, "bitmap aggregates of Spark" if bitmaps else "joins of id tables", len(found), size_pretty(sum(i.size_bytes() for i in found)))
         return self.spark.createDataFrame([row], "version string, bitmaps_enabled boolean, bitmap_implementation string, total_indexes long, total_index_size string")
 
     def check_config(self) -> DataFrame:
-        """check_name, status, recommendation: three rows."""
-        bitmaps, n = has_bitmap_functions(self.spark), len(self._all())
+        """check_name, status, recommendation (empty where nothing need be done): what can slow a search down or break a run on a cluster."""
+        found = self._all()
+        shared = self.spark.conf.get("spark.checkpoint.dir", "")
+        segments = max((len(i.manifest.segments) for i in found), default=0)
+        dead = sum(i.manifest.tombstones for i in found)
         rows = [
-            ("Bitmap Support", "Enabled" if bitmaps else "Disabled", f"Optimal configuration (Spark {spark_version()})" if bitmaps else "Use a Spark release with bitmap functions"),
-            ("Library Version", VERSION, "Current version"),
-            ("Active Indexes", str(n), "Indexes are active" if n else "No indexes created yet"),
+            ("shared folder", "set" if shared else "unset", "" if shared else "name a folder that all executors see in spark.checkpoint.dir"),
+            ("bitmap aggregates", "present" if has_bitmap_functions(self.spark) else "absent", "" if has_bitmap_functions(self.spark) else "id sets need a newer Spark"),
+            ("indexes", str(len(found)), "" if found else "build one where the same key is searched often"),
+            ("segments of an index, at most", str(segments), "compact it: every segment is a set of files to open" if segments > MANY_SEGMENTS else ""),
+            ("deleted rows still stored", str(dead), "compact: searches join them away each time" if dead else ""),
         ]
         return self.spark.createDataFrame(rows, "check_name string, status string, recommendation string")
+
+    def register_views(self, prefix: str = "sieve_") -> list[str]:
+        """Temporary views of the catalog as it is now, for SQL; their names."""
+        views = {"indexes": self.indexes, "indexes_detailed": self.indexes_detailed, "memory_usage": self.memory_usage, "status": self.status, "check_config": self.check_config}
+        for name, make in views.items():
+            make().createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in views]

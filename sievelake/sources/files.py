@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,17 @@ from pyspark.sql import types as T
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary folder; a cluster an error: its executors share no local disk.
+    """
+    root, master = spark.conf.get("spark.checkpoint.dir", ""), spark.sparkContext.master
+    if not root and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='sievelake-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None, **options) -> DataFrame:
     """A table from any of FORMATS. Give a schema for json and csv: none is inferred from a pass over the data unless asked for."""
     if fmt not in FORMATS:

@@ -1,9 +1,11 @@
 """A stored pattern index: rows, and postings of their characters by position, as Parquet segments under a versioned manifest.
 
-Layout under the index's path: ``rows/<segment>`` (rid and the table's columns), ``chars/<segment>`` (one row for each character:
-key, ci, ch, off from the start, neg from the end, len, rid), ``lengths/<segment>`` (key, ci, len, rid), ``dead/<segment>`` (rids) and
-``manifest/v=<n>``: a state is a manifest version, written last, so a reader sees the old state or the new one.
-Both cases are stored (ci: of the lowered key, whose length may differ). Postings are sorted by key, case and character.
+Layout under the index's path: ``rows/seg=<s>`` (rid and the table's columns), ``chars/seg=<s>`` (one row for each character:
+ch, off from the start, neg from the end, len, rid), ``lengths/seg=<s>`` (len, rid), ``dead/seg=<s>`` (rids) and
+``manifest/v=<n>``: a state is a manifest version, written last, so a reader sees the old state or the new one; a version
+that its writer didn't finish is passed over. Both cases are stored (ci: of the lowered key, whose length may differ). Postings
+stand in a folder for each key and case, sorted by character, so a search reads those of its key and its letters. With a
+partition column (``by``) rows and postings also stand in a folder for each of its values.
 
 Ids are dense from 1 and never used again. Nulls have no postings; a row that is null in one key is still found by the others.
 """
@@ -19,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelake.functions.pattern import Pattern
 from sievelake.plans.planner import Predicate, ordered
@@ -27,6 +30,7 @@ from .files import text_key
 
 #: Deletions that make the next change rewrite the index.
 CLEANUP = 1000
+_BY = "_part"  # the partition value of a row, as text
 _RECORD_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
 
 
@@ -34,6 +38,8 @@ _RECORD_BITS = 33  # of monotonically_increasing_id: the row's place in its part
 class Manifest:
     name: str
     keys: dict[str, str]
+    by: str | None = None
+    schemas: dict[str, str] = field(default_factory=dict)
     segments: list[str] = field(default_factory=list)
     dead: list[str] = field(default_factory=list)
     next_rid: int = 1
@@ -50,15 +56,19 @@ class PatternIndex:
 
     def __init__(self, spark: SparkSession, path: str, version: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.version = self._latest() if version is None else version
-        text = self.spark.read.text(f"{self.path}/manifest/v={self.version}").first()[0]
-        self.manifest = Manifest(**json.loads(text))
+        found = ((v, m) for v in ([version] if version is not None else sorted(self._versions(), reverse=True)) if (m := self._state(v)) is not None)
+        self.version, self.manifest = next(found, (0, None))
+        if self.manifest is None:
+            raise FileNotFoundError(f"no index at {self.path}")
 
     # -- building -----------------------------------------------------------------------------------------------------
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, keys: dict[str, str] | list[str], name: str | None = None) -> PatternIndex:
-        """Index the rows of ``df`` (for a partial index, filter it first). Keys must be text: cast others in their expression."""
+    def build(cls, df: DataFrame, path: str, keys: dict[str, str] | list[str], name: str | None = None, by: str | None = None) -> PatternIndex:
+        """Index the rows of ``df`` (for a partial index, filter it first). Keys must be text: cast others in their expression.
+
+        ``by``: a column with few values, by which rows and postings are stored apart.
+        """
         keys = {k: f"`{k}`" for k in keys} if not isinstance(keys, dict) else dict(keys)
         if not keys:
             raise ValueError("an index needs a key")
@@ -66,17 +76,26 @@ class PatternIndex:
             text_key(df, F.expr(expression))
         self = cls.__new__(cls)
         self.spark, self.path, self.version = df.sparkSession, path.rstrip("/"), 0
-        self.manifest = Manifest(name or self.path.rsplit("/", 1)[-1], keys)
+        self.manifest = Manifest(name or self.path.rsplit("/", 1)[-1], keys, by)
         n, segment = self._add(df, 1)
         self._publish(replace(self.manifest, segments=[segment], next_rid=1 + n))
         return self
 
-    def _latest(self) -> int:
-        return max(int(p.rsplit("=", 1)[-1]) for p in _list(self.spark, f"{self.path}/manifest"))
+    def _versions(self) -> list[int]:
+        return [int(p.rsplit("=", 1)[-1]) for p in _list(self.spark, f"{self.path}/manifest")]
+
+    def _state(self, version: int) -> Manifest | None:
+        """The manifest of a version; None where its writer was lost before it was done."""
+        line = self.spark.read.schema("value string").text(f"{self.path}/manifest/v={version}").first()
+        try:
+            return Manifest(**json.loads(line[0])) if line else None
+        except json.JSONDecodeError:
+            return None
 
     def _publish(self, manifest: Manifest) -> None:
+        """Write the next version; of two writers at once the second fails, since its version is there."""
         manifest = replace(manifest, written_at=time.time())
-        self.version += 1
+        self.version = max([0, *self._versions()]) + 1
         row = self.spark.range(1).select(F.lit(json.dumps(asdict(manifest))).alias("value"))
         row.coalesce(1).write.text(f"{self.path}/manifest/v={self.version}")
         self.manifest = manifest
@@ -100,51 +119,73 @@ class PatternIndex:
             rows = rows.select((F.col("start") + F.col("_at").bitwiseAND(F.lit((1 << _RECORD_BITS) - 1))).alias("rid"), *df.columns)
         else:
             rows = staged_rows.select(F.col("_at").alias("rid"), *df.columns)
-        rows.write.parquet(f"{self.path}/rows/{segment}")
-        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/{segment}")
+        if self.manifest.by is not None:
+            rows = rows.withColumn(_BY, F.col(f"`{self.manifest.by}`").cast("string"))
+        self._store("rows", segment, rows)
+        rows = self._read("rows", [segment])
         keyed = reduce(
             DataFrame.unionByName,
-            [rows.select("rid", F.lit(name).alias("key"), F.lit(ci).alias("ci"), (F.lower(F.expr(e)) if ci else F.expr(e)).alias("s")) for name, e in self.manifest.keys.items() for ci in (False, True)],
+            [rows.select("rid", *self._by, F.lit(name).alias("key"), F.lit(ci).alias("ci"), (F.lower(F.expr(e)) if ci else F.expr(e)).alias("s")) for name, e in self.manifest.keys.items() for ci in (False, True)],
         ).where("s is not null")
-        keyed.select("key", "ci", F.length("s").alias("len"), "rid").write.parquet(f"{self.path}/lengths/{segment}")
-        chars = keyed.select("key", "ci", "rid", F.length("s").alias("len"), F.posexplode(F.split("s", "")).alias("off", "ch")).where("len > 0")
-        chars = chars.select("key", "ci", "ch", "off", (F.col("off") - F.col("len")).alias("neg"), "len", "rid")
-        chars.sortWithinPartitions("key", "ci", "ch", "off").write.parquet(f"{self.path}/chars/{segment}")
+        self._store("lengths", segment, keyed.select(*self._by, "key", "ci", F.length("s").alias("len"), "rid"))
+        chars = keyed.select(*self._by, "key", "ci", "rid", F.length("s").alias("len"), F.posexplode(F.split("s", "")).alias("off", "ch")).where("len > 0")
+        self._store("chars", segment, chars.select(*self._by, "key", "ci", "ch", "off", (F.col("off") - F.col("len")).alias("neg"), "len", "rid"))
         _delete(self.spark, staged)
         return total - first, segment
 
+    @property
+    def _by(self) -> list[str]:
+        return [_BY] if self.manifest.by is not None else []
+
+    def _store(self, what: str, segment: str, frame: DataFrame) -> None:
+        """Write a table of a segment in folders by partition value, and by key and case where it has these."""
+        apart = [c for c in (_BY, "key", "ci") if c in frame.columns]
+        inside = [c for c in ("ch", "off") if c in frame.columns]
+        writer = (frame.sortWithinPartitions(*apart, *inside) if inside else frame).write
+        (writer.partitionBy(*apart) if apart else writer).parquet(f"{self.path}/{what}/seg={segment}")
+        self.manifest = replace(self.manifest, schemas=self.manifest.schemas | {what: frame.schema.json()})
+
     # -- reading ------------------------------------------------------------------------------------------------------
 
-    def _read(self, what: str, segments: list[str], columns: str) -> DataFrame:
-        if not segments:
-            return self.spark.createDataFrame([], columns)
-        return self.spark.read.parquet(*[f"{self.path}/{what}/{s}" for s in segments])
+    def _read(self, what: str, segments: list[str]) -> DataFrame:
+        """Segments of a table; folder names are read as what they were written as."""
+        schema = T.StructType.fromJson(json.loads(self.manifest.schemas[what]))
+        paths = [f"{self.path}/{what}/seg={s}" for s in segments]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*paths).select(*schema.names)
 
     def rows(self) -> DataFrame:
         """Live rows with their rid."""
-        return self._live(self._read("rows", self.manifest.segments, "rid long"))
+        return self._live(self._read("rows", self.manifest.segments)).drop(_BY)
 
     def _live(self, df: DataFrame) -> DataFrame:
-        return df.join(self._read("dead", self.manifest.dead, "rid long").distinct(), "rid", "left_anti") if self.manifest.dead else df
+        return df.join(self._read("dead", self.manifest.dead).distinct(), "rid", "left_anti") if self.manifest.dead else df
+
+    def _within(self, df: DataFrame, values: list[str | None] | None) -> DataFrame:
+        """The rows of some partition values: other folders are not read."""
+        if values is None:
+            return df
+        return df.where(F.col(_BY).isin(*[v for v in values if v is not None]) | (F.col(_BY).isNull() if None in values else F.lit(False)))
 
     def chars(self) -> DataFrame:
-        return self._read("chars", self.manifest.segments, "key string, ci boolean, ch string, off int, neg int, len int, rid long")
+        return self._read("chars", self.manifest.segments)
 
     def lengths(self) -> DataFrame:
-        return self._read("lengths", self.manifest.segments, "key string, ci boolean, len int, rid long")
+        return self._read("lengths", self.manifest.segments)
 
-    def _matches(self, key: str, pattern: Pattern, ci: bool) -> DataFrame:
+    def _matches(self, key: str, pattern: Pattern, ci: bool, values: list[str | None] | None = None) -> DataFrame:
         """rids that match one pattern, from postings alone; deleted rows not yet taken out."""
         of_key = (F.col("key") == key) & (F.col("ci") == F.lit(ci))
-        lengths = self.lengths().where(of_key)
+        lengths = self._within(self.lengths(), values).where(of_key)
         n, parts = pattern.least_length, pattern.parts
         long_enough = (F.col("len") >= n) if pattern.has_run else (F.col("len") == n)
         letters = [(p, i, t) for p, part in enumerate(parts) for i, t in enumerate(part) if isinstance(t, str)]
         if not letters:
             return lengths.where(long_enough).select("rid")
-        spark = self.spark
-        wanted = spark.createDataFrame([(p, i, t) for p, i, t in letters], "p int, i int, ch string")
-        found = self.chars().where(of_key & long_enough & F.col("ch").isin(*sorted({t for _, _, t in letters})))
+        places: dict[str, list[Column]] = {}  # letter: (part, place in it) where the pattern wants it
+        for p, i, t in letters:
+            places.setdefault(t, []).append(F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")))
+        found = self._within(self.chars(), values).where(of_key & long_enough & F.col("ch").isin(*sorted(places)))
+        wanted = F.element_at(F.create_map(*[x for t, own in places.items() for x in (F.lit(t), F.array(*own))]), F.col("ch"))
         last = len(parts) - 1
         # a letter of an anchored part has one place only: postings elsewhere are left out before any shuffle
         at = F.col("off") - F.col("i")
@@ -153,10 +194,13 @@ class PatternIndex:
             fits &= (F.col("p") != 0) | (at == 0)
         if not pattern.ends_open:
             fits &= (F.col("p") != last) | (F.col("neg") - F.col("i") == -len(parts[last]))
-        hits = found.join(F.broadcast(wanted), "ch").where(fits).select("rid", "len", "p", at.alias("start"))
+        # one shuffle, by row: both aggregations below and the joins with other predicates keep to it
+        hits = found.select("*", F.inline(wanted)).where(fits).select("rid", "len", "p", at.alias("start")).repartition("rid")
         need = F.element_at(F.array(*[F.lit(sum(isinstance(t, str) for t in part)) for part in parts]), F.col("p") + 1)
         starts = hits.groupBy("rid", "len", "p", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == need)
         lettered = sorted({p for p, _, _ in letters})
+        if len(parts) == 1:  # any start will do
+            return starts.select("rid").distinct()
         by_row = starts.groupBy("rid", "len").agg(*[F.array_sort(F.collect_list(F.when(F.col("p") == p, F.col("start")))).alias(f"s{p}") for p in lettered])
         # greedy from the left: each part at the first start that the part before leaves free; null once there is none
         place: Column = F.lit(0)
@@ -169,8 +213,11 @@ class PatternIndex:
                 place = place + len(part)
         return by_row.where(place.isNotNull() & (place <= F.col("len"))).select("rid")
 
-    def ids(self, predicates: Iterable[Predicate]) -> DataFrame:
-        """Live rids that pass all predicates (columns are key names), most selective first; negations subtract from the non-null rows."""
+    def ids(self, predicates: Iterable[Predicate], values: list[str | None] | None = None) -> DataFrame:
+        """Live rids that pass all predicates (columns are key names), most selective first; negations subtract from the non-null rows.
+
+        ``values``: only rows with one of these values of the partition column.
+        """
         out = None
         for p in ordered(predicates):
             if p.column not in self.manifest.keys:
@@ -178,19 +225,20 @@ class PatternIndex:
             if p.pattern is None:
                 return self.lengths().select("rid").where("false")
             pattern = p.parsed.lowered() if p.ignores_case else p.parsed
-            own = self._matches(p.column, pattern, p.ignores_case)
+            own = self._matches(p.column, pattern, p.ignores_case, values)
             if p.negated:
                 base = out if out is not None else None
-                not_null = self.lengths().where((F.col("key") == p.column) & ~F.col("ci")).select("rid")
+                not_null = self._within(self.lengths(), values).where((F.col("key") == p.column) & ~F.col("ci")).select("rid")
                 own = (not_null if base is None else base.join(not_null, "rid", "left_semi")).join(own, "rid", "left_anti")
                 out = own
             else:
                 out = own if out is None else out.join(own, "rid", "left_semi")
-        return self._live(out if out is not None else self._read("rows", self.manifest.segments, "rid long").select("rid"))
+        return self._live(out if out is not None else self._within(self._read("rows", self.manifest.segments), values).select("rid"))
 
-    def search(self, predicates: Iterable[Predicate]) -> DataFrame:
+    def search(self, predicates: Iterable[Predicate], values: list[str | None] | None = None) -> DataFrame:
         """Matching rows, without their rids."""
-        return self.rows().join(self.ids(predicates), "rid", "left_semi").drop("rid")
+        rows = self._within(self._read("rows", self.manifest.segments), values)
+        return rows.join(self.ids(predicates, values), "rid", "left_semi").drop("rid", _BY)
 
     def count(self, predicates: Iterable[Predicate], name: str = "n") -> DataFrame:
         return self.ids(predicates).agg(F.count(F.lit(1)).alias(name))
@@ -204,8 +252,8 @@ class PatternIndex:
 
     def _bury(self, condition: Column) -> tuple[int, str]:
         segment = uuid.uuid4().hex
-        self.rows().where(condition).select("rid").write.parquet(f"{self.path}/dead/{segment}")
-        return self.spark.read.parquet(f"{self.path}/dead/{segment}").count(), segment
+        self._store("dead", segment, self.rows().where(condition).select("rid"))
+        return self._read("dead", [segment]).count(), segment
 
     def delete(self, condition: Column, cleanup: bool = True) -> int:
         """Mark the rows that satisfy ``condition``; with CLEANUP marks or more the index is rewritten, unless ``cleanup`` is off. The number of rows."""
@@ -232,8 +280,8 @@ class PatternIndex:
     def compact(self) -> None:
         """Rewrite the live rows and postings as one segment; ids stay."""
         m, segment = self.manifest, uuid.uuid4().hex
-        for what, frame in (("rows", self.rows()), ("lengths", self._live(self.lengths())), ("chars", self._live(self.chars()).sortWithinPartitions("key", "ci", "ch", "off"))):
-            frame.write.parquet(f"{self.path}/{what}/{segment}")
+        for what in ("rows", "lengths", "chars"):
+            self._store(what, segment, self._live(self._read(what, m.segments)))
         self._publish(replace(m, segments=[segment], dead=[], tombstones=0))
 
     def rebuild(self, keys: dict[str, str] | None = None) -> None:
@@ -248,7 +296,7 @@ class PatternIndex:
         live = {*self.manifest.segments, *self.manifest.dead}
         for what in ("rows", "chars", "lengths", "dead", "staged"):
             for path in _list(self.spark, f"{self.path}/{what}"):
-                if path.rsplit("/", 1)[-1] not in live:
+                if path.rsplit("/", 1)[-1].removeprefix("seg=") not in live:
                     _delete(self.spark, path)
         for path in _list(self.spark, f"{self.path}/manifest"):
             if int(path.rsplit("=", 1)[-1]) < self.version:
@@ -261,7 +309,7 @@ class PatternIndex:
 
     def size_bytes(self) -> int:
         """Bytes of the files of the current state's postings and lengths."""
-        return sum(_size(self.spark, f"{self.path}/{what}/{s}") for what in ("chars", "lengths") for s in self.manifest.segments)
+        return sum(_size(self.spark, f"{self.path}/{what}/seg={s}") for what in ("chars", "lengths") for s in self.manifest.segments)
 
     def stats(self) -> DataFrame:
         """One row: name, active, slots, free, tombstones, max_len, inserts, updates, deletes."""
@@ -294,6 +342,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """What changes when a table is written anew: its length and time of change."""
+    p, fs = _fs(spark, path)
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def _size(spark: SparkSession, path: str) -> int:
     p, fs = _fs(spark, path)
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0

@@ -1,40 +1,37 @@
-"""One pattern index for each value of a partition column, so that queries on few partitions open few indexes."""
+"""An index in parts, one for each value of a partition column, so that queries on few partitions read few folders."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.plans.planner import Predicate
 
-from .index import PatternIndex, _list
+from .index import _BY, PatternIndex
 
 
 class PartitionedIndex:
-    """Indexes in the folders ``<by>=<value>`` under a path. Meant for partition columns, whose values are few."""
+    """A pattern index whose rows and postings stand in a folder for each value of its partition column.
+
+    It is built in one pass, whatever the number of values. Values may hold any characters; null is a value of its own.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.parts = {p.rsplit("=", 1)[-1]: PatternIndex(spark, p) for p in sorted(_list(spark, self.path))}
+        self.index = PatternIndex(spark, path)
+        if self.index.manifest.by is None:
+            raise ValueError(f"the index at {path} has no partition column")
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, keys: dict[str, str] | list[str], by: str, most: int = 1000) -> PartitionedIndex:
-        """Rows with a null partition value go to the partition ``null``; more than ``most`` values are refused."""
-        values = [r[0] for r in df.select(F.col(by).cast("string")).distinct().limit(most + 1).collect()]
-        if len(values) > most:
-            raise ValueError(f"{by} has more than {most} values: not a partition column")
-        for v in values:
-            own = df.where(F.col(by).cast("string").eqNullSafe(F.lit(v)))
-            PatternIndex.build(own, f"{path.rstrip('/')}/{by}={'null' if v is None else v}", keys)
+    def build(cls, df: DataFrame, path: str, keys: dict[str, str] | list[str], by: str) -> PartitionedIndex:
+        PatternIndex.build(df, path, keys, by=by)
         return cls(df.sparkSession, path)
 
-    def search(self, predicates: Iterable[Predicate], values: Iterable[str] | None = None) -> DataFrame:
-        """Matching rows of the partitions ``values`` (all, if None); other partitions are not opened."""
-        predicates = list(predicates)
-        chosen = [i for v, i in self.parts.items() if values is None or v in set(map(str, values))]
-        if not chosen:
-            raise KeyError(f"no such partitions: {values}")
-        return reduce(DataFrame.unionByName, [i.search(predicates) for i in chosen])
+    def values(self) -> DataFrame:
+        """The partition values, as text."""
+        return self.index.lengths().select(F.col(_BY).alias("value")).distinct()
+
+    def search(self, predicates: Iterable[Predicate], values: Iterable | None = None) -> DataFrame:
+        """Matching rows of the partitions ``values`` (all, if None); other partitions are not read. Unknown values have no rows."""
+        return self.index.search(list(predicates), None if values is None else [v if v is None else str(v) for v in values])
