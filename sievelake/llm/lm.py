@@ -25,17 +25,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, written
+from .common import crc_mod, default_parallelism, discard, small_batches, written
 
 ORDER = 4
 #: Text bytes of a block; positions handled at a time inside it; size of a dense lookup table, beyond which a sorted one serves.
 BLOCK, SLICE, DENSE = 24 << 20, 1 << 20, 1 << 26
+#: Partitions for each block, so that blocks seldom share one; from MOST partitions on each has many blocks, which is as even.
+SPREAD, MOST = 8, 20_000
 #: Bytes that UTF-8 never has, for the marks before a text and after it; values that a symbol can take.
 START, END, SYMBOLS = 0xFF, 0xFE, 255
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, bool]:
-    """doc_id, text (null: empty), train, blk; and whether blocks are runs of rows in their files.
+def blocked(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, bool, int]:
+    """doc_id, text (null: empty), train, blk; whether blocks are runs of rows in their files; and about how many blocks there are.
 
     Blocks are about ``block_bytes`` of text, as many as the input's bytes ask for. Rows that come from files are blocked by file and
     row number, so that one scan task holds most of a block and nothing is shuffled to count it; other rows by a hash.
@@ -47,10 +49,10 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, bool]
     train = crc_mod("doc_id", 7) != 2
     try:
         run = F.expr(f"_metadata.row_index div {max(1, size['rows'] // n)}")
-        return docs.select("doc_id", text.alias("text"), train.alias("train"), F.xxhash64(F.col("_metadata.file_path"), run).alias("blk")), True
+        return docs.select("doc_id", text.alias("text"), train.alias("train"), F.xxhash64(F.col("_metadata.file_path"), run).alias("blk")), True, n
     except AnalysisException:  # not the rows of files
         blk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text, F.lit(17)), F.lit(n))
-        return docs.select("doc_id", text.alias("text"), train.alias("train"), blk.alias("blk")), False
+        return docs.select("doc_id", text.alias("text"), train.alias("train"), blk.alias("blk")), False, n
 
 
 def _texts(column: pa.ChunkedArray) -> list[bytes]:
@@ -258,7 +260,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     base is that of no counts. Repeated rows all teach and all get rows. Columns besides doc_id and text are ignored.
     """
     small_batches(docs.sparkSession)
-    rows, in_runs = blocked(docs, block_bytes)
+    rows, in_runs, blocks = blocked(docs, block_bytes)
     schema = "blk long, gram boolean, term long, n long"
     terms = written(rows.mapInArrow(_run_terms, schema) if in_runs else rows.groupBy("blk").applyInArrow(_block_terms, schema), "lm-terms")
     words = terms.where(~F.col("gram"))
@@ -267,6 +269,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     grams = written(terms.where("gram").groupBy("term").agg(F.sum("n").alias("n")), "lm-grams")
     values = written(gram_log_probs(grams), "lm-values")
+    discard(grams)
     known = words.select("blk", "gram", "term", F.sum("n").over(Window.partitionBy("term")).cast("double").alias("value")).where("value > 0")
     own = terms.where("gram").select("blk", "gram", "term").join(values, "term").select("blk", "gram", "term", "value")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -308,4 +311,6 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
             }
         )
 
-    return rows.groupBy("blk").cogroup(known.unionByName(own).groupBy("blk")).applyInArrow(run, _SCORES.format(kind))
+    parts = max(default_parallelism(docs), min(SPREAD * blocks, MOST))
+    texts, dictionary = rows.repartition(parts, "blk"), known.unionByName(own).repartition(parts, "blk")
+    return texts.groupBy("blk").cogroup(dictionary.groupBy("blk")).applyInArrow(run, _SCORES.format(kind))

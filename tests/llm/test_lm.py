@@ -81,6 +81,13 @@ def test_blocks_of_files(spark, tmp_path):
         close([tuple(r) for r in lm.score_documents(docs, block_bytes=size).collect()], list(brute(rows)))
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice(["word ", "other ", "é ", "\n"]) for _ in range(40_000))
+    rows = [(0, long), (1, "word other"), (3, long[:100_000]), (4, "x" * 150_000), (6, None)]
+    close(run(spark, rows, block_bytes=100_000), list(brute(rows)))
+
+
 def test_no_rows_and_no_training_rows(spark):
     assert run(spark, []) == []
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
