@@ -1,0 +1,167 @@
+"""Operators and the pipeline computed once more in plain Python, and inputs that are long, hot or oddly named."""
+
+import hashlib
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sievelake.llm import bpe, chat, common, langid, mixing, sharding
+from test_native import ROWS, docs, fill, turns
+from test_pairs import brute_groups, brute_idf
+from test_text import held, plain_statistics
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of longs (int), ints ((int,)) and strings; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_feistel(x, n, seed=7):
+    a = max(1, int(np.ceil(np.sqrt(n))))
+    b = max(1, -(-n // a))
+    while True:
+        left, right = divmod(x, b)
+        for i in range(1, sharding.ROUNDS + 1):
+            if i % 2:
+                left = (left + spark_hash(right, (i,), (seed,)) % a) % a
+            else:
+                right = (right + spark_hash(left, (i,), (seed,)) % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+def plain_shards(rows):
+    keys = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    nulls_first = lambda k: [(v is not None, v or 0) for v in k]
+    order = sorted(keys, key=lambda k: (spark_hash(*k) % sharding.BUCKETS, spark_hash(*k), nulls_first(k)))
+    out, number = [], 0
+    for k in order:
+        for _ in range(keys[k]):
+            p = plain_feistel(number, len(rows))
+            out.append((*k, number, p % 16, p // 16))
+            number += 1
+    return out
+
+
+def test_sharding_against_a_plain_version(spark, monkeypatch):
+    want = sorted(map(repr, plain_shards(ROWS)))
+    columns = ("doc_id", "size", "text_crc32", "row_number", "shard", "slot")
+    for run in (4096, 7):  # copies of a row in one run, and in many
+        monkeypatch.setattr(sharding, "RUN", run)
+        got = sharding.shard_documents(docs(spark, ROWS)).select(*columns).collect()
+        assert sorted(repr(tuple(r)) for r in got) == want
+
+
+def test_hot_rows_and_odd_names(spark, monkeypatch):
+    rows = [(1, "same text", "hot")] * 500 + [(i, "other words here", "cold") for i in range(50)] + [(9, "w " * 300_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    monkeypatch.setattr(sharding, "RUN", 16)
+    got = sharding.shard_documents(df).collect()
+    assert sorted(r["row_number"] for r in got) == list(range(len(rows))) and max(r["size"] for r in got) == 600_001
+    sized = df.select(*[F.col("doc_id").alias(c) for c in ("_c", "_b", "_h")], "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(sized, ["_c", "_b", "_h"]).collect()
+    want, taken = fill({"hot": 1000, "cold": 150, None: 300_000}), defaultdict(int)
+    for r in mixed:
+        assert r["_c"] == r["_b"] == r["_h"] and r["repeats"] <= 2
+        taken[r["source"]] += r["size"] * r["repeats"]
+    assert len(mixed) == len(rows) and all(abs(taken[s] - want[s]) <= (150_000 if s is None else 1.5) for s in want)
+    named = df.select(*[F.col("doc_id").alias(c) for c in ("_c", "_b", "_h")])
+    assert sharding.shard(named, ["_c", "_b", "_h"]).columns == ["_c", "_b", "_h", "row_number", "shard", "slot"]
+
+
+def test_a_long_conversation(spark):
+    """One conversation of 20,000 turns and one turn of a million characters, whole."""
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k} <|x|> \\") for k in range(20_000)] + [(2, 0, "user", "q"), (2, 1, "assistant", "ab<|" * 250_000)]
+    got = {r["conv_id"]: r for r in chat.chat_digest(turns(spark, rows)).collect()}
+    for c in (1, 2):
+        said = "".join(f"{role}\n{t}\n" for i, _, role, t in rows if i == c)
+        learnt = "".join(t for i, _, role, t in rows if i == c and role == "assistant")
+        assert got[c]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[c]["valid"]
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+
+
+def plain_quality(texts, labels):
+    """Scores of texts (id: text) from labels (id: 0 or 1) of those not held out."""
+    x = {i: np.array(plain_statistics(t or "")) for i, t in texts.items()}
+    taught = [(x[i], k) for i, k in labels.items() if i in x and not held(i)]
+    a, y = np.stack([t[0] for t in taught]), np.array([t[1] for t in taught])
+    mean, spread = a.mean(0), np.sqrt(np.maximum(a.var(0), 1e-6))
+    z, d = (a - mean) / spread, (np.stack(list(x.values())) - mean) / spread
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    within, log = sum((y == k).mean() * own[k] for k in (0, 1)), []
+    for k in (0, 1):
+        cov = 0.95 * own[k] + 0.04 * within + 0.01 * np.trace(own[k]) / len(mean) * np.eye(len(mean))
+        e = d - z[y == k].mean(0)
+        log.append(np.log(((y == k).sum() + 1) / (len(y) + 2)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", e, np.linalg.inv(cov), e))
+    return dict(zip(x, 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))))
+
+
+def plain_mix(rows):
+    """How often each of rows (id, text, source) is taken."""
+    size = {i: len(t.split()) for i, t, _ in rows}
+    sizes, of = defaultdict(int), defaultdict(list)
+    for i, t, s in rows:
+        sizes[s] += size[i]
+        of[s].append((hashlib.md5(f"11|{i}|{spark_hash(t)}".encode()).hexdigest(), i))
+    target, times = fill(sizes), {}
+    for s, own in of.items():
+        whole = int(target[s] // sizes[s])
+        left, before = target[s] - whole * sizes[s], 0
+        for _, i in sorted(own):
+            times[i] = whole + (size[i] > 0 and (left - before) / size[i] + 0.5 >= 1)
+            before += size[i]
+    return times
+
+
+def test_pipeline_against_a_plain_version(spark, sf_dir):
+    rows = {r["doc_id"]: r for r in common.table(spark, sf_dir, "documents").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in common.table(spark, sf_dir, "labels").collect()}
+    score = plain_quality({i: r["text"] for i, r in rows.items()}, labels)
+    assert not any(abs(s - 0.3) < 1e-6 for s in score.values())
+    good = [r for i, r in rows.items() if score[i] >= 0.3]
+    # the trained network is taken as it is; what it says of each text is pooled here window by window
+    net = langid.learn(spark.createDataFrame(good, "doc_id long, text string, lang string, source string, n_chars long"))
+    run, sure = net.ready(), []
+    for r in good:
+        x = langid.training_windows(r["text"].encode())
+        letters = langid._LETTER[x.ravel()] > 0
+        if any(c.isalpha() for c in r["text"]):
+            p = np.concatenate([run.positions(np.ascontiguousarray(w[None].T))[:, :, 0] for w in x])[letters].mean(0)
+            if p.max() >= 1.4 / len(net.langs):
+                sure.append(r)
+    texts = [(r["doc_id"], r["text"]) for r in sure]
+    _, group = brute_groups(texts, brute_idf(texts))
+    single = [(r["doc_id"], r["text"], r["source"]) for r in sure if group[r["doc_id"]] == r["doc_id"]]
+    times = plain_mix(single)
+    path, pattern = bpe.default_vocabulary()
+    public = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    want = Counter({(i, tuple(public.encode_ordinary(t))): times[i] for i, t, _ in single if times[i]})
+    assert 50 < len(single) < len(sure) <= len(good) < len(rows)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in every column, repeated rows, long texts, more columns and an empty table, through all stages."""
+    base = common.table(spark, sf_dir, "documents").withColumn("_n", F.when(F.col("doc_id") > 0, 1)).withColumn("score", F.when(F.col("doc_id") > 0, "x"))
+    odd = spark.createDataFrame([(None, None, None, None, None, None, None), (None, "word " * 60_000, "en", None, None, 2, "y"), (3, "", None, "web", 0, None, None), (3, None, "en", "web", 0, 1, None)], base.schema)
+    labels_dir = sf_dir
+    frame = base.unionByName(odd).unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, frame, labels_dir), "odd")
+        assert out.count() <= frame.count() * 2, name
+        assert stage(spark, frame.limit(0), labels_dir).count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == base.columns, name
+            frame = out
