@@ -30,6 +30,8 @@ from .files import text_key
 
 #: Deletions that make the next change rewrite the index.
 CLEANUP = 1000
+#: Postings (or rows, where these are more) that a task sorts or groups, about: with the table tasks grow in number, not in memory.
+TASK_ROWS = 1 << 20
 _BY = "_part"  # the partition value of a row, as text
 _RECORD_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
 
@@ -47,6 +49,7 @@ class Manifest:
     updates: int = 0
     deletes: int = 0
     tombstones: int = 0
+    load: int | None = None  # rows of the segments or characters of a key in one case, whichever are most
     status: str = "ready"
     written_at: float = 0.0
 
@@ -77,8 +80,8 @@ class PatternIndex:
         self = cls.__new__(cls)
         self.spark, self.path, self.version = df.sparkSession, path.rstrip("/"), 0
         self.manifest = Manifest(name or self.path.rsplit("/", 1)[-1], keys, by)
-        n, segment = self._add(df, 1)
-        self._publish(replace(self.manifest, segments=[segment], next_rid=1 + n))
+        n, segment, load = self._add(df, 1)
+        self._publish(replace(self.manifest, segments=[segment], next_rid=1 + n, load=load))
         return self
 
     def _versions(self) -> list[int]:
@@ -100,8 +103,8 @@ class PatternIndex:
         row.coalesce(1).write.text(f"{self.path}/manifest/v={self.version}")
         self.manifest = manifest
 
-    def _add(self, df: DataFrame, first: int) -> tuple[int, str]:
-        """Write rows and postings of ``df`` with ids from ``first``; the number of rows and the segment."""
+    def _add(self, df: DataFrame, first: int) -> tuple[int, str, int]:
+        """Write rows and postings of ``df`` with ids from ``first``; the number of rows, the segment and its load."""
         segment = uuid.uuid4().hex
         staged = f"{self.path}/staged/{segment}"
         # rows are written once as they come; their partition and place are then facts, and ids follow from counts by partition
@@ -121,17 +124,29 @@ class PatternIndex:
             rows = staged_rows.select(F.col("_at").alias("rid"), *df.columns)
         if self.manifest.by is not None:
             rows = rows.withColumn(_BY, F.col(f"`{self.manifest.by}`").cast("string"))
-        self._store("rows", segment, rows)
-        rows = self._read("rows", [segment])
-        keyed = reduce(
-            DataFrame.unionByName,
-            [rows.select("rid", *self._by, F.lit(name).alias("key"), F.lit(ci).alias("ci"), (F.lower(F.expr(e)) if ci else F.expr(e)).alias("s")) for name, e in self.manifest.keys.items() for ci in (False, True)],
-        ).where("s is not null")
-        self._store("lengths", segment, keyed.select(*self._by, "key", "ci", F.length("s").alias("len"), "rid"))
-        chars = keyed.select(*self._by, "key", "ci", "rid", F.length("s").alias("len"), F.posexplode(F.split("s", "")).alias("off", "ch")).where("len > 0")
-        self._store("chars", segment, chars.select(*self._by, "key", "ci", "ch", "off", (F.col("off") - F.col("len")).alias("neg"), "len", "rid"))
+        self._store_rows(segment, rows, total - first)
+        load = self._post(segment)
         _delete(self.spark, staged)
-        return total - first, segment
+        return total - first, segment, load
+
+    def _store_rows(self, segment: str, rows: DataFrame, n: int) -> None:
+        # folders by partition value take a sort of whole rows, which are wider than postings
+        self._store("rows", segment, _dealt(rows, _parts(4 * n)) if self._by else rows)
+
+    def _post(self, segment: str) -> int:
+        """Write the postings of a segment's stored rows; its load."""
+        rows = self._read("rows", [segment])
+        cased = lambda i, ci: F.lower(f"_s{i}") if ci else F.col(f"_s{i}")
+        texts = [(name, ci, cased(i, ci)) for i, name in enumerate(self.manifest.keys) for ci in (False, True)]
+        # keys are dealt as whole texts, which are far fewer than their characters
+        whole = rows.select("rid", *self._by, *[F.expr(e).alias(f"_s{i}") for i, e in enumerate(self.manifest.keys.values())])
+        n, *chars = whole.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.length(s)), F.lit(0)) for *_, s in texts]).first()
+        each = F.inline(F.array(*[F.struct(F.lit(name).alias("key"), F.lit(ci).alias("ci"), s.alias("s")) for name, ci, s in texts]))
+        keyed = lambda rows: _dealt(whole, _parts(rows)).select("rid", *self._by, each).where("s is not null")
+        self._store("lengths", segment, keyed(n * len(texts)).select(*self._by, "key", "ci", F.length("s").alias("len"), "rid"))
+        chars_of = keyed(sum(chars)).select(*self._by, "key", "ci", "rid", F.length("s").alias("len"), F.posexplode(F.split("s", "")).alias("off", "ch")).where("len > 0")
+        self._store("chars", segment, chars_of.select(*self._by, "key", "ci", "ch", "off", (F.col("off") - F.col("len")).alias("neg"), "len", "rid"))
+        return max(n, *chars)
 
     @property
     def _by(self) -> list[str]:
@@ -155,10 +170,37 @@ class PatternIndex:
 
     def rows(self) -> DataFrame:
         """Live rows with their rid."""
-        return self._live(self._read("rows", self.manifest.segments)).drop(_BY)
+        return self._live_rows().drop(_BY)
+
+    def _live_rows(self) -> DataFrame:
+        rows = self._read("rows", self.manifest.segments)
+        many = self.manifest.dead and self.manifest.tombstones > TASK_ROWS >> 4
+        return self._live(_dealt(rows, self.parts) if many else rows)
 
     def _live(self, df: DataFrame) -> DataFrame:
-        return df.join(self._read("dead", self.manifest.dead).distinct(), "rid", "left_anti") if self.manifest.dead else df
+        """Without the deleted rows; where these are many, ``df`` is dealt by row already."""
+        if not self.manifest.dead:
+            return df
+        dead = self._read("dead", self.manifest.dead)
+        if self.manifest.tombstones <= TASK_ROWS >> 4:
+            return df.join(F.broadcast(dead), "rid", "left_anti")
+        return self._met(df, _dealt(dead, self.parts), "left_anti")
+
+    @property
+    def parts(self) -> int:
+        """Partitions in which rows and what is found of them meet, by rid."""
+        if self.manifest.load is None:  # written before loads were kept
+            sums = self.lengths().groupBy("key", "ci").agg(F.sum("len").alias("n")).agg(F.max("n")).first()
+            self.manifest = replace(self.manifest, load=max(self.manifest.next_rid - 1, sums[0] or 0))
+        return _parts(self.manifest.load)
+
+    def _met(self, df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+        """A join by rid of two sides that are dealt alike; the size of ids is known from the index, not from that of its files."""
+        return df.join(ids.hint("merge") if self.parts > 1 else ids, "rid", how)
+
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """Live rows, with their rid, of a table of rids; repeated ones make no difference."""
+        return self._met(self._live(_dealt(self._read("rows", self.manifest.segments), self.parts)), _dealt(ids, self.parts)).drop(_BY)
 
     def _within(self, df: DataFrame, values: list[str | None] | None) -> DataFrame:
         """The rows of some partition values: other folders are not read."""
@@ -173,14 +215,14 @@ class PatternIndex:
         return self._read("lengths", self.manifest.segments)
 
     def _matches(self, key: str, pattern: Pattern, ci: bool, values: list[str | None] | None = None) -> DataFrame:
-        """rids that match one pattern, from postings alone; deleted rows not yet taken out."""
+        """rids that match one pattern, from postings alone, dealt by row; deleted rows not yet taken out."""
         of_key = (F.col("key") == key) & (F.col("ci") == F.lit(ci))
         lengths = self._within(self.lengths(), values).where(of_key)
         n, parts = pattern.least_length, pattern.parts
         long_enough = (F.col("len") >= n) if pattern.has_run else (F.col("len") == n)
         letters = [(p, i, t) for p, part in enumerate(parts) for i, t in enumerate(part) if isinstance(t, str)]
         if not letters:
-            return lengths.where(long_enough).select("rid")
+            return _dealt(lengths.where(long_enough).select("rid"), self.parts)
         places: dict[str, list[Column]] = {}  # letter: (part, place in it) where the pattern wants it
         for p, i, t in letters:
             places.setdefault(t, []).append(F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")))
@@ -194,13 +236,16 @@ class PatternIndex:
             fits &= (F.col("p") != 0) | (at == 0)
         if not pattern.ends_open:
             fits &= (F.col("p") != last) | (F.col("neg") - F.col("i") == -len(parts[last]))
-        # one shuffle, by row: both aggregations below and the joins with other predicates keep to it
-        hits = found.select("*", F.inline(wanted)).where(fits).select("rid", "len", "p", at.alias("start")).repartition("rid")
+        # one shuffle, by row: both aggregations below and the joins with other predicates keep to it, but for letters of many places
+        own_parts = self.parts
+        n_parts = _parts(self.manifest.load * max(map(len, places.values())))
+        hits = found.select("*", F.inline(wanted)).where(fits).select("rid", "len", "p", at.alias("start")).repartition(n_parts, "rid")
+        back = (lambda ids: ids) if n_parts == own_parts else lambda ids: _dealt(ids, own_parts)
         need = F.element_at(F.array(*[F.lit(sum(isinstance(t, str) for t in part)) for part in parts]), F.col("p") + 1)
         starts = hits.groupBy("rid", "len", "p", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == need)
         lettered = sorted({p for p, _, _ in letters})
         if len(parts) == 1:  # any start will do
-            return starts.select("rid").distinct()
+            return back(starts.select("rid").distinct())
         by_row = starts.groupBy("rid", "len").agg(*[F.array_sort(F.collect_list(F.when(F.col("p") == p, F.col("start")))).alias(f"s{p}") for p in lettered])
         # greedy from the left: each part at the first start that the part before leaves free; null once there is none
         place: Column = F.lit(0)
@@ -211,7 +256,7 @@ class PatternIndex:
                 place = F.when(F.col("len") - len(part) >= place, F.col("len"))
             else:
                 place = place + len(part)
-        return by_row.where(place.isNotNull() & (place <= F.col("len"))).select("rid")
+        return back(by_row.where(place.isNotNull() & (place <= F.col("len"))).select("rid"))
 
     def ids(self, predicates: Iterable[Predicate], values: list[str | None] | None = None) -> DataFrame:
         """Live rids that pass all predicates (columns are key names), most selective first; negations subtract from the non-null rows.
@@ -227,18 +272,17 @@ class PatternIndex:
             pattern = p.parsed.lowered() if p.ignores_case else p.parsed
             own = self._matches(p.column, pattern, p.ignores_case, values)
             if p.negated:
-                base = out if out is not None else None
                 not_null = self._within(self.lengths(), values).where((F.col("key") == p.column) & ~F.col("ci")).select("rid")
-                own = (not_null if base is None else base.join(not_null, "rid", "left_semi")).join(own, "rid", "left_anti")
-                out = own
+                not_null = _dealt(not_null, self.parts)
+                out = self._met(not_null if out is None else self._met(out, not_null), own, "left_anti")
             else:
-                out = own if out is None else out.join(own, "rid", "left_semi")
-        return self._live(out if out is not None else self._within(self._read("rows", self.manifest.segments), values).select("rid"))
+                out = own if out is None else self._met(out, own)
+        return self._live(out if out is not None else _dealt(self._within(self._read("rows", self.manifest.segments), values).select("rid"), self.parts))
 
     def search(self, predicates: Iterable[Predicate], values: list[str | None] | None = None) -> DataFrame:
         """Matching rows, without their rids."""
-        rows = self._within(self._read("rows", self.manifest.segments), values)
-        return rows.join(self.ids(predicates, values), "rid", "left_semi").drop("rid", _BY)
+        rows = _dealt(self._within(self._read("rows", self.manifest.segments), values), self.parts)
+        return self._met(rows, self.ids(predicates, values)).drop("rid", _BY)
 
     def count(self, predicates: Iterable[Predicate], name: str = "n") -> DataFrame:
         return self.ids(predicates).agg(F.count(F.lit(1)).alias(name))
@@ -246,9 +290,13 @@ class PatternIndex:
     # -- maintenance --------------------------------------------------------------------------------------------------
 
     def append(self, df: DataFrame) -> None:
-        n, segment = self._add(df, self.manifest.next_rid)
+        n, segment, load = self._add(df, self.manifest.next_rid)
         m = self.manifest
-        self._publish(replace(m, segments=[*m.segments, segment], next_rid=m.next_rid + n, inserts=m.inserts + n))
+        self._publish(replace(m, segments=[*m.segments, segment], next_rid=m.next_rid + n, inserts=m.inserts + n, load=self._more(load)))
+
+    def _more(self, load: int) -> int | None:
+        """The load with another segment's; unknown stays unknown."""
+        return None if self.manifest.load is None else self.manifest.load + load
 
     def _bury(self, condition: Column) -> tuple[int, str]:
         segment = uuid.uuid4().hex
@@ -269,27 +317,27 @@ class PatternIndex:
         new = self.rows().where(condition).drop("rid").withColumns(changes)
         old = self.rows().drop("rid").schema
         new = new.select(*[F.col(f.name).cast(f.dataType) for f in old.fields])
-        n, added = self._add(new, self.manifest.next_rid)
+        n, added, load = self._add(new, self.manifest.next_rid)
         _, buried = self._bury(condition)
         m = self.manifest
-        self._publish(replace(m, segments=[*m.segments, added], dead=[*m.dead, buried], next_rid=m.next_rid + n, updates=m.updates + n, tombstones=m.tombstones + n))
+        self._publish(replace(m, segments=[*m.segments, added], dead=[*m.dead, buried], next_rid=m.next_rid + n, updates=m.updates + n, tombstones=m.tombstones + n, load=self._more(load)))
         if self.manifest.tombstones >= CLEANUP:
             self.compact()
         return n
 
     def compact(self) -> None:
-        """Rewrite the live rows and postings as one segment; ids stay."""
+        """Rewrite the live rows as one segment, and their postings from these; ids stay."""
         m, segment = self.manifest, uuid.uuid4().hex
-        for what in ("rows", "lengths", "chars"):
-            self._store(what, segment, self._live(self._read(what, m.segments)))
-        self._publish(replace(m, segments=[segment], dead=[], tombstones=0))
+        self._store_rows(segment, self._live_rows(), m.next_rid - 1)
+        load = self._post(segment)
+        self._publish(replace(m, segments=[segment], dead=[], tombstones=0, load=load))
 
     def rebuild(self, keys: dict[str, str] | None = None) -> None:
         """Index the live rows anew, with new ids (and new keys, if given)."""
         rows = self.rows().drop("rid")
         self.manifest = replace(self.manifest, keys=keys or self.manifest.keys)
-        n, segment = self._add(rows, self.manifest.next_rid)
-        self._publish(replace(self.manifest, segments=[segment], dead=[], tombstones=0, next_rid=self.manifest.next_rid + n))
+        n, segment, load = self._add(rows, self.manifest.next_rid)
+        self._publish(replace(self.manifest, segments=[segment], dead=[], tombstones=0, next_rid=self.manifest.next_rid + n, load=load))
 
     def vacuum(self) -> None:
         """Remove files that the current state no longer names."""
@@ -327,6 +375,15 @@ def _first_from(starts: Column, place: Column) -> Column:
     return F.get(F.filter(starts, lambda s: s >= place), F.lit(0))
 
 
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` in so many partitions by rid; as it is where one would do."""
+    return df.repartition(parts, "rid") if parts > 1 else df
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
