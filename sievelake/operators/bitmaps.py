@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 BUCKET, BYTES = 32_768, 4_096
 
 
-def create(ids: DataFrame, rid: str = "rid") -> DataFrame:
-    """(bucket, bits) of a table of ids; repeated ids and nulls make no difference."""
-    kept = ids.where(F.col(rid).isNotNull())
-    return kept.groupBy(F.bitmap_bucket_number(rid).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rid)).alias("bits"))
+def create(ids: DataFrame, rid: str = "rid", parts: int | None = None) -> DataFrame:
+    """(bucket, bits) of a table of ids; repeated ids and nulls make no difference.
+
+    ``parts``: ids are dealt by bucket into so many partitions; without it each partition of ids makes a part of each of its buckets.
+    """
+    kept = ids.where(F.col(rid).isNotNull()).select(F.bitmap_bucket_number(rid).alias("bucket"), F.bitmap_bit_position(rid).alias("at"))
+    return (kept if parts is None else kept.repartition(parts, "bucket")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
 def _all(sets: tuple[DataFrame, ...]) -> DataFrame:
@@ -43,8 +46,12 @@ def is_empty(bits: DataFrame) -> bool:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """AND NOT, on ids: Spark has no bitmap complement, so both sides are spread to ids, which share a hash join."""
-    return create(to_ids(a).join(to_ids(b), "rid", "left_anti"))
+    """AND NOT, by bucket: Spark has no bitmap complement, so both bitmaps are read as words of 8 hex digits."""
+    met = a.select("bucket", F.hex("bits").alias("a")).join(b.select("bucket", F.hex("bits").alias("b")), "bucket", "left")
+    word = lambda of: f"cast(conv(substring({of}, 8 * i + 1, 8), 16, 10) AS bigint)"
+    words = f"transform(sequence(0, {BYTES // 4 - 1}), i -> lpad(hex({word('a')} & ~{word('b')}), 8, '0'))"
+    bits = F.when(F.col("b").isNull(), F.unhex("a")).otherwise(F.unhex(F.array_join(F.expr(words), "")))
+    return met.select("bucket", bits.alias("bits")).where(F.bitmap_count("bits") > 0)
 
 
 def to_ids(bits: DataFrame) -> DataFrame:

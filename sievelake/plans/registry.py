@@ -241,23 +241,27 @@ def index_count(spark, sf_dir):
     return _index(spark, sf_dir).count([P("p_name", "LIKE", "%r_n%")])
 
 
+def _bits(index: PatternIndex, pattern: str) -> DataFrame:
+    return bitmaps.create(index.ids([P("p_name", "LIKE", pattern)]), parts=index.parts)
+
+
 @query("SELECT count(*) AS n FROM part WHERE p_name LIKE 's%' AND p_name LIKE '%ring'")
 def bitmap_and_count(spark, sf_dir):
     index = _index(spark, sf_dir)
-    return bitmaps.count(bitmaps.intersection(bitmaps.create(index.ids([P("p_name", "LIKE", "s%")])), bitmaps.create(index.ids([P("p_name", "LIKE", "%ring")]))))
+    return bitmaps.count(bitmaps.intersection(_bits(index, "s%"), _bits(index, "%ring")))
 
 
 @query("SELECT count(*) AS n FROM part WHERE p_name LIKE 's%' OR p_name LIKE '%ring'")
 def bitmap_or_count(spark, sf_dir):
     index = _index(spark, sf_dir)
-    return bitmaps.count(bitmaps.union(bitmaps.create(index.ids([P("p_name", "LIKE", "s%")])), bitmaps.create(index.ids([P("p_name", "LIKE", "%ring")]))))
+    return bitmaps.count(bitmaps.union(_bits(index, "s%"), _bits(index, "%ring")))
 
 
 @query("SELECT p_partkey FROM part WHERE p_name LIKE 's%' AND p_name NOT LIKE '%ring'")
 def bitmap_andnot_rows(spark, sf_dir):
     index = _index(spark, sf_dir)
-    left = bitmaps.difference(bitmaps.create(index.ids([P("p_name", "LIKE", "s%")])), bitmaps.create(index.ids([P("p_name", "LIKE", "%ring")])))
-    return index.rows().join(bitmaps.to_ids(left), "rid", "left_semi").select("p_partkey")
+    left = bitmaps.difference(_bits(index, "s%"), _bits(index, "%ring"))
+    return index.fetch(bitmaps.to_ids(left)).select("p_partkey")
 
 
 _NEW = "SELECT p_partkey + 100000000 AS p_partkey, 'zz ' || p_name AS p_name, p_size FROM part"

@@ -1,11 +1,13 @@
 """Tasks of the stored index hold a bounded number of postings: more of them, not larger ones, on larger tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievelake.functions.matcher import matches
+from sievelake.operators import bitmaps
 from sievelake.plans.planner import Predicate
 from sievelake.sources import index as stored
 from sievelake.sources.index import PatternIndex
@@ -70,3 +72,16 @@ def test_parts_of_partition_values_and_older_manifests(spark, few, tmp_path):
     older = PatternIndex(spark, found.index.path)
     assert older.manifest.load is None and older.parts == found.index.parts > 1
     agrees(older, {i: WORDS[i % 8] for i in range(240)})
+
+
+def test_difference_and_dealt_bitmaps(spark):
+    rng = random.Random(5)
+    a, b = ({rng.randint(1, 140_000) for _ in range(3000)} | set(top) for top in ((32_768, 65_536, 131_073), (65_536, 65_537)))
+    a, b = a | set(range(33_000, 34_000)), b | set(range(33_500, 33_900))
+    make = lambda xs: bitmaps.create(spark.createDataFrame([(x,) for x in xs], "rid long"), parts=3)
+    back = lambda s: sorted(r[0] for r in bitmaps.to_ids(s).collect())
+    assert make(a).rdd.getNumPartitions() == 3
+    left = bitmaps.difference(make(a), make(b))
+    assert back(left) == sorted(a - b)
+    assert "Generate" not in left._jdf.queryExecution().optimizedPlan().toString()  # no id is spread
+    assert back(bitmaps.difference(make(a), make({1}))) == sorted(a - {1}) and bitmaps.is_empty(bitmaps.difference(make(a), make(a)))
