@@ -276,16 +276,16 @@ def _additions(part: DataFrame) -> DataFrame:
 def maint_insert(spark, sf_dir):
     index = _own(spark, sf_dir)
     index.append(_additions(_table(spark, sf_dir, "part")))
-    ids = index.ids([P("p_name", "LIKE", "zz%")]).union(index.ids([P("p_name", "LIKE", "%ring")])).distinct()
-    return index.rows().join(ids, "rid", "left_semi").select("p_partkey", "p_name")
+    ids = index.ids([P("p_name", "LIKE", "zz%")]).union(index.ids([P("p_name", "LIKE", "%ring")]))
+    return index.fetch(ids).select("p_partkey", "p_name")
 
 
 @query("SELECT p_partkey, n FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 3 THEN 'new ' || p_name ELSE p_name END AS n FROM part) WHERE n LIKE 'new %' OR n LIKE 'small%'")
 def maint_update(spark, sf_dir):
     index = _own(spark, sf_dir)
     index.update(F.col("p_partkey") % 10 == 3, {"p_name": F.concat(F.lit("new "), F.col("p_name"))})
-    ids = index.ids([P("p_name", "LIKE", "new %")]).union(index.ids([P("p_name", "LIKE", "small%")])).distinct()
-    return index.rows().join(ids, "rid", "left_semi").select("p_partkey", F.col("p_name").alias("n"))
+    ids = index.ids([P("p_name", "LIKE", "new %")]).union(index.ids([P("p_name", "LIKE", "small%")]))
+    return index.fetch(ids).select("p_partkey", F.col("p_name").alias("n"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_name LIKE '%ring' AND NOT p_partkey % 5 = 0")
