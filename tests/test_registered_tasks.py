@@ -9,6 +9,7 @@ from sievelake.sources import index as stored
 
 NAMES = [
     "index_stats",
+    "maint_rebuild",
 ]
 LIMIT = 2000
 
