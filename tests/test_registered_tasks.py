@@ -10,6 +10,7 @@ from sievelake.sources import index as stored
 NAMES = [
     "index_stats",
     "maint_rebuild",
+    "maint_cleanup",
 ]
 LIMIT = 2000
 
