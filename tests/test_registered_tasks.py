@@ -11,6 +11,7 @@ NAMES = [
     "index_stats",
     "maint_rebuild",
     "maint_cleanup",
+    "maint_compact",
 ]
 LIMIT = 2000
 
