@@ -12,6 +12,7 @@ NAMES = [
     "maint_rebuild",
     "maint_cleanup",
     "maint_compact",
+    "maint_delete",
 ]
 LIMIT = 2000
 
