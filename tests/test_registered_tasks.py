@@ -13,6 +13,7 @@ NAMES = [
     "maint_cleanup",
     "maint_compact",
     "maint_delete",
+    "bitmap_or_count",
 ]
 LIMIT = 2000
 
