@@ -14,6 +14,7 @@ NAMES = [
     "maint_compact",
     "maint_delete",
     "bitmap_or_count",
+    "bitmap_and_count",
 ]
 LIMIT = 2000
 
