@@ -15,6 +15,7 @@ NAMES = [
     "maint_delete",
     "bitmap_or_count",
     "bitmap_and_count",
+    "index_partial",
 ]
 LIMIT = 2000
 
